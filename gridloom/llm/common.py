@@ -9,6 +9,10 @@ from pyspark.sql import SparkSession
 
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[32, 9, 10, 11, 12, 13]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+WORD_BYTES = np.zeros(256, dtype=bool)
+WORD_BYTES[48:58] = WORD_BYTES[65:91] = WORD_BYTES[97:123] = WORD_BYTES[128:] = True
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -36,34 +40,51 @@ def powers(n: int) -> np.ndarray:
     """BASE^0 .. BASE^(n-1) modulo 2^64."""
     global _POWERS
     while len(_POWERS) < n:
-        step = _POWERS[-1] * BASE
-        _POWERS = np.concatenate([_POWERS, _POWERS * step])
+        _POWERS = np.concatenate([_POWERS, _POWERS * (_POWERS[-1:] * BASE)])
     return _POWERS[:n]
 
 
-def word_hashes(data: bytes, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hash, start and end of every maximal run of bytes other than space and \\t..\\r.
-
-    A word's hash is a polynomial of its bytes modulo 2^64, finalised; with ``lower``, A-Z count as a-z."""
-    raw = np.frombuffer(data, dtype=np.uint8)
-    if not len(raw):
-        e = np.empty(0, dtype=np.int64)
-        return np.empty(0, dtype=np.uint64), e, e
-    if lower:
-        raw = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
-    inside = ~SPACES[raw]
-    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if not len(starts):
-        return np.empty(0, dtype=np.uint64), starts, ends
-    # place of each byte within its word, then the sum of (byte + 1) * BASE^place word by word
+def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every maximal run of true values."""
+    at = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if inside[0]:
+        at = np.concatenate([[0], at])
+    if inside[-1]:
+        at = np.append(at, len(inside))
+    return at[0::2], at[1::2]
+
+
+def word_hashes(raw: np.ndarray, inside: np.ndarray, prefix: int = 0) -> tuple[np.ndarray, ...]:
+    """Start, end and 64-bit hash of each run of ``inside`` bytes of ``raw``; with ``prefix``, also the hash of its first bytes.
+
+    A hash is a polynomial of the bytes modulo 2^64 and the length, finalised."""
+    if not len(raw) or not inside.any():
+        none, at = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+        return (at, at, none, none) if prefix else (at, at, none)
+    starts, ends = runs(inside)
     place = np.arange(len(raw), dtype=np.int64)
-    at = np.repeat(starts, np.diff(np.append(starts, len(raw))))
-    place[starts[0] :] -= at
+    place[starts[0] :] -= np.repeat(starts, np.diff(np.append(starts, len(raw))))
+    place[: starts[0]] = 0
     term = (raw.astype(np.uint64) + np.uint64(1)) * powers(int(place.max()) + 1)[place]
     term[~inside] = 0
-    sums = np.add.reduceat(term, starts)
-    return mix64(sums + (ends - starts).astype(np.uint64) * MIX_B), starts, ends
+    size = (ends - starts).astype(np.uint64)
+    full = mix64(np.add.reduceat(term, starts) + size * MIX_B)
+    if not prefix:
+        return starts, ends, full
+    term[place >= prefix] = 0
+    return starts, ends, full, mix64(np.add.reduceat(term, starts) ^ MIX_B)
+
+
+def blank_separated(text: str) -> tuple[np.ndarray, ...]:
+    """Words between spaces and \\t..\\r, with A-Z as a-z: starts, ends, hashes."""
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    return word_hashes(LOWER[raw], ~SPACES[raw])
+
+
+def plain_words(text: str, prefix: int = 0) -> tuple[np.ndarray, ...]:
+    """Words of letters and digits of the lower-cased text (every other ASCII sign separates): starts, ends, hashes and prefix hashes."""
+    raw = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    return word_hashes(raw, WORD_BYTES[raw], prefix)
 
 
 def shingle_hashes(words: np.ndarray, k: int = 5) -> np.ndarray:

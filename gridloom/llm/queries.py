@@ -7,11 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat, mixing, sharding, tokens
+from gridloom.llm import chat, decontamination, line_dedup, mixing, sharding, tokens, toxicity, urls
 from gridloom.llm.common import shared_path
 from gridloom.session import read_table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan_rows(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -23,6 +31,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(read_table(spark, sf_dir, "documents"), path, shared_path(spark, "token-counts"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     table = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -39,10 +51,55 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(read_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_mixing": op4_mixing, "op6_token_counts": op6_token_counts, "op8_chat_formatting": op8_chat_formatting, "op9_sharding": op9_sharding}
+    found = (
+        op1_line_dedup,
+        op3_decontamination,
+        op4_mixing,
+        op6_token_counts,
+        op7_toxicity,
+        op8_chat_formatting,
+        op9_sharding,
+        op10_url_filters,
+    )
+    return {f.__name__: f for f in found}
 
 
+OP1_SQL = r"""
+WITH l AS (
+  SELECT doc_id, i - 1 AS i, x AS line, n,
+         CAST('0x' || substr(md5(x), 1, 8) AS BIGINT) % 2147483647 AS h
+  FROM (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS x, len(ls) AS n
+        FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))),
+e AS (
+  SELECT *, CASE WHEN i = n - 1
+                 OR (coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0) * 1103515245 + h) % 2147483647 % 3 = 0
+            THEN 1 ELSE 0 END AS is_end
+  FROM l),
+c AS (
+  SELECT *, coalesce(sum(is_end) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk
+  FROM e),
+k AS (
+  SELECT doc_id, chunk, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body
+  FROM c GROUP BY doc_id, chunk
+  HAVING count(*) > 1 OR len(regexp_extract_all(max(line), '[^ 	]+')) >= 50),
+r AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, chunk) AS nth FROM k),
+g AS (SELECT doc_id, chunk, n FROM r WHERE nth > 1),
+t AS (
+  SELECT c.doc_id, string_agg(CASE WHEN g.chunk IS NULL THEN c.line END, chr(10) ORDER BY c.i) AS text,
+         count(*) AS n_lines, count(g.chunk) AS removed_lines
+  FROM c LEFT JOIN g ON c.doc_id = g.doc_id AND c.chunk = g.chunk GROUP BY c.doc_id)
+SELECT d.doc_id, coalesce(t.n_lines, 0) AS n_lines,
+       coalesce((SELECT count(*) FROM g WHERE g.doc_id = d.doc_id), 0) AS removed_chunks,
+       coalesce(t.removed_lines, 0) AS removed_lines,
+       CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t.text, '') END AS text
+FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id
+"""
+
 OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
@@ -93,4 +150,4 @@ FROM e GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4_SQL, "op8_chat_formatting": OP8_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op4_mixing": OP4_SQL, "op8_chat_formatting": OP8_SQL}
