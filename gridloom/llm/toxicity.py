@@ -7,8 +7,8 @@ documents apart; the toxic side's dictionary is followed by the ordinary one, so
 language equally well. A document's windows are compressed with both; the differences of the lengths
 (largest, mean, share and number of large ones) go through a logistic calibration to a score in [0, 1].
 
-Training reads a bounded sample of labelled rows (``max_docs`` of each class of at most ``max_chars``
-characters, in the order of a hash of doc_id); scoring covers every document, window by window.
+Training reads a bounded sample of labelled rows (``max_docs`` of each class in the order of a
+hash of doc_id, those of at most ``max_chars`` characters); scoring covers every document, window by window.
 
 Edge cases: null and empty texts get the score of a document without words; without labelled rows of both
 classes every score is 0; null labels are left out and repeated ones count once (toxic wins); repeated
@@ -138,15 +138,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, max_
     """The bounded training sample, none of it held out."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", "text").filter(F.char_length("text") <= max_chars).join(known, "doc_id")
-    texts: list[str] = []
-    marks: list[int] = []
+    order = (F.md5(F.col("doc_id").cast("string")), "doc_id")
+    chosen = None
     for label in (1, 0):
-        some = rows.filter(F.col("toxic") == label).orderBy(F.md5(F.col("doc_id").cast("string")), "text").limit(max_docs).select("text").toArrow()
-        found = some.column("text").to_pylist()
-        texts += found
-        marks += [label] * len(found)
-    return texts, marks
+        some = known.filter(F.col("toxic") == label).orderBy(*order).limit(max_docs)
+        chosen = some if chosen is None else chosen.unionByName(some)
+    # at most two times max_docs ids: broadcast, so that no text is shuffled
+    rows = docs.select("doc_id", "text").filter(F.char_length("text") <= max_chars).join(F.broadcast(chosen), "doc_id")
+    found = rows.toPandas().sort_values(["toxic", "doc_id", "text"], ascending=[False, True, True])
+    return found["text"].tolist(), found["toxic"].tolist()
 
 
 def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
