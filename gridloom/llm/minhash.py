@@ -153,7 +153,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 80) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept."""
     signed = durable(signatures(docs))
     classes = signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    member = signed.join(classes, ["n", "d1", "d2"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    member = signed.join(classes, ["n", "d1", "d2"], "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
     member = durable(member.select("doc_id", "n", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("sig")).alias("sig")))
     reps = durable(member.filter("sig IS NOT NULL").select(F.col("doc_id").alias("id"), "sig").dropDuplicates(["id"]))
     found = components(links(reps, docs, threshold))
