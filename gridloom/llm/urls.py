@@ -102,6 +102,7 @@ LABELLED = (
     ("https://travel-notes.example.com/island-walk", 0),
     ("https://open-data.example.net/sets/rainfall.csv", 0),
     ("https://farm-museum.example.org/visit", 0),
+    ("", 0),  # without host and path: nothing speaks against it
 )
 
 
@@ -153,7 +154,7 @@ def _features(hosts: list[str], paths: list[str]) -> tuple[np.ndarray, np.ndarra
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))  # type: ignore[return-value]
 
 
-def train(labelled: Sequence[tuple[str, int]] = LABELLED, steps: int = 400, rate: float = 2.0, ridge: float = 1e-4) -> tuple[float, np.ndarray]:
+def train(labelled: Sequence[tuple[str, int]] = LABELLED, steps: int = 2000, rate: float = 4.0, ridge: float = 1e-5) -> tuple[float, np.ndarray]:
     """Intercept and weights by full-batch gradient descent; both classes weigh the same."""
     hosts, paths = zip(*(_split(u) for u, _ in labelled), strict=True)
     y = np.array([label for _, label in labelled], dtype=float)
