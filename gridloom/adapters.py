@@ -73,9 +73,9 @@ def keypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every byte of every document's text."""
-    d = read_table(spark, sf_dir, "documents").select("doc_id", F.hex("text").alias("h")).filter("length(h) > 0")
-    n = (F.length("h") / 2).cast("int")
-    rows = d.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substr("h", i * 2 + 1, F.lit(2)))).alias("pos", "hex"))
+    d = read_table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("b")).filter("octet_length(b) > 0")
+    at = F.sequence(F.lit(0), F.octet_length("b") - 1)
+    rows = d.select("doc_id", F.posexplode(F.transform(at, lambda i: F.hex(F.substr("b", i + 1, F.lit(1))))).alias("pos", "hex"))
     return rows.select("doc_id", "pos", F.conv("hex", 16, 10).cast("int").alias("byte"))
 
 

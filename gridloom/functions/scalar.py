@@ -37,7 +37,7 @@ def angle(ax, ay, bx, by, cx, cy) -> Column:
 
 def buffer_size(nx: Column, ny: Column) -> Column:
     """Smallest power of two strictly above both sides (exact: by bit length)."""
-    return F.shiftleft(F.lit(1).cast("long"), F.length(F.bin(F.greatest(nx, ny).cast("long"))))
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(F.greatest(nx, ny).cast("long"))))
 
 
 def project(h: Sequence[float] | Column, x: Column, y: Column) -> tuple[Column, Column]:
@@ -78,11 +78,11 @@ def split_integer(n: Column) -> tuple[Column, Column]:
     """A signed integer as its magnitude's bit length and the rest, sign last."""
     a = F.abs(n)
     bits = bit_length(a)
-    return bits, F.when(n == 0, 0).otherwise(a + a - F.shiftleft(F.lit(1), bits) + (n < 0).cast("int"))
+    return bits, F.when(n == 0, 0).otherwise(a + a - F.call_function("shiftleft", F.lit(1), bits) + (n < 0).cast("int"))
 
 
 def restore_integer(bits: Column, data: Column) -> Column:
-    v = F.shiftright(data + F.shiftleft(F.lit(1), bits), 1)
+    v = F.shiftright(data + F.call_function("shiftleft", F.lit(1), bits), 1)
     return F.when(data.bitwiseAND(1) == 1, -v).otherwise(v)
 
 
