@@ -4,14 +4,19 @@ A document's set is its distinct shingles of five words (words are runs of bytes
 \\t..\\r, with A-Z lower-cased; fewer words make one shingle; no words, no set). Steps:
 
 1. documents with equal sets form a class, represented by its smallest doc_id;
-2. each class has a signature of 128 universal hash minima, cut into 32 bands of 4; classes that agree in a band
-   meet in a bucket (a pair of similarity 0.85 is missed with probability 6e-11, one of 0.8 with 5e-8);
+2. each class has a signature of universal hash minima, cut into bands of 4, as many as miss a pair at the
+   threshold with a probability of 1e-7 (22 bands for 0.85, 31 for 0.8); classes that agree in a band meet in a bucket;
 3. in each bucket every class is paired with the smallest; pairs pass if enough of their signatures agree
-   (five standard deviations below the threshold) and are then confirmed on the full sets; confirmed links give
+   (about five standard deviations below the threshold) and are then confirmed on the full sets; confirmed links give
    components by alternating large-star and small-star;
 4. buckets of three or more classes that now lie in several components are searched for the links that stars do
-   not show: all pairs across components whose signatures agree are confirmed. Large buckets are dealt out by a
-   second band first, so only classes that agree in two bands meet there;
+   not show. In small buckets all pairs across components whose signatures agree are confirmed. Classes of a
+   large bucket are compared through its smallest class P: with D(A) what A and P don't share, 100 |A n B| >=
+   t |A u B| means |D(A) - D(B)| + |D(B) - D(A)| <= H = (|A| + |B|) (100 - t) / (100 + t). Either
+   |D(A)| + |D(B)| <= H, then both are linked to P itself, or the two share a shingle among the first
+   H_max + 1 of their D in one fixed order (prefix filter), far enough to the front for the rest to add up
+   (positional filter). In that order rare shingles come first, mostly edits that no other copy has, so copies that
+   differ too much from each other hardly ever meet, though each resembles P;
 5. components of all confirmed links are spread to the documents.
 
 No group is gathered: stars are joins, copies of any number are one class, and the pairs of step 4 leave out
@@ -25,6 +30,7 @@ near_duplicates and kept by drop_near_duplicates.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,15 +42,21 @@ from gridloom.llm.common import blank_separated, shingle_hashes
 from gridloom.llm.components import components
 from gridloom.session import durable
 
-BANDS, ROWS = 32, 4
-HASHES = BANDS * ROWS
+ROWS = 4
+MOST_BANDS = 128
 WORDS = 5
 LARGE_BUCKET = 64
+COMMON = 32
 PIECE = 1024
 
 _rng = np.random.default_rng(20240501)
-MULTIPLIERS = (_rng.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
-OFFSETS = _rng.integers(0, 2**32, HASHES, dtype=np.uint32)[:, None]
+MULTIPLIERS = (_rng.integers(0, 2**31, ROWS * MOST_BANDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
+OFFSETS = _rng.integers(0, 2**32, ROWS * MOST_BANDS, dtype=np.uint32)[:, None]
+
+
+def bands_for(threshold: int) -> int:
+    """As few bands as miss a pair at the threshold (in percent) with a probability of at most 1e-7."""
+    return min(MOST_BANDS, math.ceil(math.log(1e-7) / math.log(1 - (threshold / 100) ** ROWS)))
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -52,17 +64,18 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(shingle_hashes(blank_separated(text or "")[2], WORDS))
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """The least value of each of 128 hashes a x + b mod 2^32 over the set."""
+def signature(shingles: np.ndarray, hashes: int) -> np.ndarray:
+    """The least value of each of the first hashes a x + b mod 2^32 over the set."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
-    least = np.full(HASHES, np.iinfo(np.uint32).max, dtype=np.uint32)
+    least = np.full(hashes, np.iinfo(np.uint32).max, dtype=np.uint32)
     for at in range(0, len(x), PIECE):
-        np.minimum(least, (MULTIPLIERS * x[None, at : at + PIECE] + OFFSETS).min(axis=1), out=least)
+        np.minimum(least, (MULTIPLIERS[:hashes] * x[None, at : at + PIECE] + OFFSETS[:hashes]).min(axis=1), out=least)
     return least
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set digest (d1, d2) and signature of every row."""
+def signatures(docs: DataFrame, bands: int) -> DataFrame:
+    """doc_id, n, set digest (d1, d2) and signature of every row."""
+    hashes = ROWS * bands
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -72,7 +85,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 n.append(len(s))
                 d1.append(int(s.sum().astype(np.int64)) if len(s) else 0)
                 d2.append(int((s * (s | np.uint64(1))).sum().astype(np.int64)) if len(s) else 0)
-                sig.append(signature(s).view(np.int32) if len(s) else None)
+                sig.append(signature(s, hashes).view(np.int32) if len(s) else None)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": n, "d1": d1, "d2": d2, "sig": sig})
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, d1 long, d2 long, sig array<int>")
@@ -92,15 +105,20 @@ def _agree(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
 
 
-def _buckets(reps: DataFrame) -> DataFrame:
+def _buckets(reps: DataFrame, bands: int) -> DataFrame:
     """One row per class and band: id, band, key."""
-    keys = F.array(*[F.xxhash64(F.lit(i), F.slice("sig", ROWS * i + 1, ROWS)) for i in range(BANDS)])
+    keys = F.array(*[F.xxhash64(F.lit(i), F.slice("sig", ROWS * i + 1, ROWS)) for i in range(bands)])
     return reps.select("id", F.posexplode(keys).alias("band", "key"))
 
 
+def _least_agreement(threshold: int) -> int:
+    """Equal hashes that pairs at the threshold reach but once in millions: about five standard deviations below."""
+    return (threshold - 20) * ROWS * bands_for(threshold) // 100
+
+
 def _similar(pairs: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b) whose signatures agree well enough."""
-    least = (threshold - 18) * HASHES // 100
+    least = _least_agreement(threshold)
     left = reps.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"))
     right = reps.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"))
     return pairs.join(left, "a").join(right, "b").filter(_agree("sig_a", "sig_b") >= least).select("a", "b")
@@ -118,16 +136,41 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 def _across(open_rows: DataFrame, by: list[str], threshold: int) -> DataFrame:
     """All pairs in the same group ``by`` that lie in different components and whose signatures agree."""
-    least = (threshold - 18) * HASHES // 100
+    least = _least_agreement(threshold)
     left = open_rows.select(*by, F.col("id").alias("a"), F.col("component").alias("ca"), F.col("sig").alias("sig_a"))
     right = open_rows.select(*by, F.col("id").alias("b"), F.col("component").alias("cb"), F.col("sig").alias("sig_b"))
     met = left.join(right, by).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (_agree("sig_a", "sig_b") >= least))
     return met.select("a", "b").distinct()
 
 
+def _beyond_pivot(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of (head, id, component) rows that may be linked though not both to their head: exact, by prefix and positional filters on what each does not share with the head."""
+    t = threshold
+    heads = sets.select(F.col("id").alias("head"), F.col("set").alias("set_h"))
+    rest = F.concat(F.array_except("set", "set_h"), F.array_except("set_h", "set"))
+    d = members.join(sets, "id").join(heads, "head").select("head", "id", "component", F.size("set").cast("long").alias("n"), rest.alias("rest"))
+    d = durable(d.repartition("head", "id"))
+    # one order for all of a head's members: first what few of them have, then what COMMON or more have, rarest first
+    counts = d.select("head", F.explode("rest").alias("shingle")).groupBy("head", "shingle").agg(F.count("*").alias("df")).filter(F.col("df") >= COMMON)
+    counts = counts.groupBy("head").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "shingle"))), lambda s: s["shingle"]).alias("common"))
+    d = d.join(counts, "head", "left").withColumn("common", F.coalesce("common", F.expr("cast(array() as array<bigint>)")))
+    order = F.concat(F.array_except("rest", "common"), F.array_intersect("common", "rest"))
+    # no partner is larger than n * 100 / t, so no more than this many shingles may differ
+    most = F.floor(F.col("n") * (100 - t) * (100 + t) / ((100 + t) * t)).cast("int")
+    d = d.select("head", "id", "component", "n", F.size("rest").cast("long").alias("size"), F.slice(order, 1, most + 1).alias("front")).repartition("head", "id")
+    front = durable(d.select("head", "id", "component", "n", "size", F.posexplode("front").alias("at", "shingle")))
+    other = front.select("head", "shingle", *[F.col(c).alias(f"{c}2") for c in ("id", "component", "n", "size", "at")])
+    differ = F.floor((F.col("n") + F.col("n2")) * (100 - t) / (100 + t))
+    common = (F.col("size") + F.col("size2") - differ) / 2
+    reach = F.least(F.col("size") - F.col("at"), F.col("size2") - F.col("at2"))
+    fits = (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * t) & (reach >= common)
+    met = front.join(other, ["head", "shingle"]).filter((F.col("id") < F.col("id2")) & (F.col("component") != F.col("component2")) & fits)
+    return met.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+
+
 def links(reps: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     """Confirmed links between classes (id, sig): enough of them to connect all classes that any link connects."""
-    rows = durable(_buckets(reps))
+    rows = _buckets(reps, bands_for(threshold))
     heads = rows.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("id").alias("head")).filter("m > 1")
     shared = durable(rows.join(heads, ["band", "key"]))
     needed = shared.select("id").distinct()
@@ -139,23 +182,22 @@ def links(reps: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     labelled = durable(labelled.select("band", "key", "m", "head", "id", "component"))
     mixed = labelled.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi")
     # a bucket's smallest class has been compared with all others
-    rest = labelled.join(mixed.select("band", "key"), ["band", "key"], "left_semi").filter("id != head")
-    rest = durable(rest.join(reps.select("id", "sig"), "id"))
-    small = rest.filter(F.col("m") <= LARGE_BUCKET)
-    large = rest.filter(F.col("m") > LARGE_BUCKET)
-    second = F.array(*[F.struct(F.lit(i).alias("band2"), F.xxhash64(F.lit(i), F.slice("sig", ROWS * i + 1, ROWS)).alias("key2")) for i in range(BANDS)])
-    large = large.withColumn("s", F.explode(second)).select("band", "key", "id", "component", "sig", "s.band2", "s.key2").filter("band2 > band")
-    more = _across(small, ["band", "key"], threshold).unionByName(_across(large, ["band", "key", "band2", "key2"], threshold)).distinct()
+    rest = durable(labelled.join(mixed.select("band", "key"), ["band", "key"], "left_semi").filter("id != head"))
+    small = rest.filter(F.col("m") <= LARGE_BUCKET).join(reps.select("id", "sig"), "id")
+    large = rest.filter(F.col("m") > LARGE_BUCKET).select("head", "id", "component").distinct()
+    beyond = _similar(_beyond_pivot(large, sets, threshold), reps, threshold)
+    more = _across(small, ["band", "key"], threshold).unionByName(beyond).distinct()
     return found.unionByName(_confirmed(more, sets, threshold))
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 80) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept."""
-    signed = durable(signatures(docs))
+    signed = durable(signatures(docs, bands_for(threshold)))
     classes = signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    member = signed.join(classes, ["n", "d1", "d2"], "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
-    member = durable(member.select("doc_id", "n", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("sig")).alias("sig")))
-    reps = durable(member.filter("sig IS NOT NULL").select(F.col("doc_id").alias("id"), "sig").dropDuplicates(["id"]))
+    member = signed.drop("sig").join(classes, ["n", "d1", "d2"], "left")
+    member = durable(member.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")))
+    ids = classes.select(F.col("rep").alias("id"))
+    reps = durable(signed.withColumnRenamed("doc_id", "id").filter("n > 0").join(ids, "id", "left_semi").select("id", "sig").dropDuplicates(["id"]))
     found = components(links(reps, docs, threshold))
     out = member.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep")
