@@ -5,7 +5,8 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[32, 9, 10, 11, 12, 13]] = True
@@ -23,6 +24,16 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+BROADCAST_IDS = 1_000_000
+
+
+def by_ids(rows: DataFrame, ids: DataFrame, how: str, id_col: str = "doc_id") -> DataFrame:
+    """Rows whose id is (left_semi) or is not (left_anti) among ``ids`` (a checkpointed column of that name).
+
+    The ids are counted first: up to BROADCAST_IDS are broadcast, so that wide rows stay where they are; more go through a shuffle join."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, id_col, how)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit words."""
     x = x ^ (x >> np.uint64(30))

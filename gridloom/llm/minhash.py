@@ -20,7 +20,8 @@ A document's set is its distinct shingles of five words (words are runs of bytes
 5. components of all confirmed links are spread to the documents.
 
 No group is gathered: stars are joins, copies of any number are one class, and the pairs of step 4 leave out
-whatever is connected already. Texts are shuffled once, and of those that share a bucket only the sets move on.
+whatever is connected already. Texts are not shuffled while the classes that share a bucket are up to a million
+(their ids are counted, then broadcast), and once beyond that; from then on only sets of those classes move.
 
 Edge cases: null, empty and blank texts have n_shingles 0 and are their own component; a null doc_id gets no
 component; repeated rows of a doc_id are one document (each row is returned); an empty table gives an empty
@@ -38,7 +39,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import blank_separated, shingle_hashes
+from gridloom.llm.common import blank_separated, by_ids, shingle_hashes
 from gridloom.llm.components import components
 from gridloom.session import durable
 
@@ -77,18 +78,19 @@ def signatures(docs: DataFrame, bands: int) -> DataFrame:
     """doc_id, n, set digest (d1, d2) and signature of every row."""
     hashes = ROWS * bands
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
+    @F.pandas_udf("n bigint, d1 bigint, d2 bigint, sig array<int>")
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for t in texts:
             n, d1, d2, sig = [], [], [], []
-            for text in pdf["text"]:
+            for text in t:
                 s = shingle_set(text)
                 n.append(len(s))
                 d1.append(int(s.sum().astype(np.int64)) if len(s) else 0)
                 d2.append(int((s * (s | np.uint64(1))).sum().astype(np.int64)) if len(s) else 0)
                 sig.append(signature(s, hashes).view(np.int32) if len(s) else None)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": n, "d1": d1, "d2": d2, "sig": sig})
+            yield pd.DataFrame({"n": n, "d1": d1, "d2": d2, "sig": sig})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, d1 long, d2 long, sig array<int>")
+    return docs.select("doc_id", run("text").alias("s")).select("doc_id", "s.*")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -173,8 +175,8 @@ def links(reps: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     rows = _buckets(reps, bands_for(threshold))
     heads = rows.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("id").alias("head")).filter("m > 1")
     shared = durable(rows.join(heads, ["band", "key"]))
-    needed = shared.select("id").distinct()
-    sets = durable(shingle_sets(docs.join(needed.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")).dropDuplicates(["id"]))
+    needed = durable(shared.select(F.col("id").alias("doc_id")).distinct())
+    sets = durable(shingle_sets(by_ids(docs, needed, "left_semi")).dropDuplicates(["id"]))
     stars = shared.filter("id != head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     found = durable(_confirmed(_similar(stars, reps, threshold), sets, threshold))
     first = components(found).withColumnRenamed("node", "id")
@@ -208,6 +210,7 @@ def drop_near_duplicates(docs: DataFrame, threshold: int = 80) -> DataFrame:
     """The documents of which one stays of each group, the one of the smallest doc_id, with their columns as they are.
 
     Rows without a doc_id stay; of rows with the same doc_id one stays."""
-    ids = near_duplicates(docs, threshold).filter("kept").select("doc_id").distinct()
-    kept = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+    found = durable(near_duplicates(docs, threshold).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).filter("not kept or n > 1"))
+    repeated = found.filter("kept").select("doc_id")
+    once = by_ids(docs, found.select("doc_id"), "left_anti")
+    return once.unionByName(by_ids(docs, repeated, "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
