@@ -86,7 +86,7 @@ def layer(s, d):
 EDGE = """, f AS (SELECT image_id, l AS level, x, y, v >= l AS fg FROM event_raster, (VALUES (2), (4)) t(l)),
     e AS (SELECT image_id, level, x, y, fg, fg AND NOT (coalesce(lead(fg) OVER r, false) AND coalesce(lag(fg) OVER r, false) AND coalesce(lead(fg) OVER c, false) AND coalesce(lag(fg) OVER c, false)) AS edge
       FROM f WINDOW r AS (PARTITION BY image_id, level, y ORDER BY x), c AS (PARTITION BY image_id, level, x ORDER BY y)),
-    n AS (SELECT e.image_id, e.level, e.x, e.y, min((e.x - q.x) * (e.x - q.x) + (e.y - q.y) * (e.y - q.y)) AS d2 FROM e JOIN e q ON q.edge AND q.image_id = e.image_id AND q.level = e.level GROUP BY ALL)"""
+    n AS (SELECT e.image_id, e.level, e.x, e.y, min((e.x - q.x) * (e.x - q.x) + (e.y - q.y) * (e.y - q.y)) AS d2 FROM e LEFT JOIN e q ON q.edge AND q.image_id = e.image_id AND q.level = e.level GROUP BY ALL)"""
 register("dst01_boundary", layer, EDGE + " SELECT * FROM e", "event_raster")
 register(
     "dst13_flags",
@@ -102,7 +102,7 @@ register(
     "event_raster",
 )
 register("flt10_within", lambda s, d: D.within(D.nearest_site(layer(s, d)), 2).select(*D.KEY), EDGE + " SELECT image_id, level, x, y FROM n WHERE d2 <= 4", "event_raster")
-register("dst14_exact_distance", lambda s, d: D.exact_distance(R.layers(A.event_raster(s, d), [2, 4])), EDGE + " SELECT image_id, level, x, y, sqrt(d2) + 1 AS dt FROM n", "event_raster")
+register("dst14_exact_distance", lambda s, d: D.exact_distance(R.layers(A.event_raster(s, d), [2, 4])), EDGE + " SELECT image_id, level, x, y, sqrt(d2) + 1 AS dt FROM n WHERE d2 IS NOT NULL", "event_raster")
 register(
     "dst17_wrap_distance",
     lambda s, d: A.signal(s, d).select("series_id", "idx", scalar.wrap_distance(F.col("v") - 8, F.lit(10.0)).alias("w")),
