@@ -164,7 +164,7 @@ def density_blur(df: DataFrame, width: int = 5) -> DataFrame:
     """Gaussian density with a zero border. For width 5 (weights 1 4 6 4 1) adds the exact integer sum ``weighted`` and v = weighted / 36."""
     if width == 1:
         return df.withColumn("weighted", F.col("v").cast("long"))
-    weights = [1, 4, 6, 4, 1]
+    weights = [1, 4, 6, 4, 1]  # fixed values: the binomial kernel of width 5
 
     def pass_(value: str, along: str, across: str) -> Column:
         w = Window.partitionBy("image_id", across).orderBy(along)
@@ -233,3 +233,29 @@ def fast_corners(df: DataFrame, limit: float) -> DataFrame:
     bright = F.array_max(F.transform(arcs, lambda a: F.array_min(a)))
     dark = F.array_max(F.transform(arcs, lambda a: -F.array_max(a)))
     return d.select(*KEY, F.greatest(bright, dark).alias("v")).filter(F.col("v") > limit)
+
+
+def thin_double(df: DataFrame) -> DataFrame:
+    """Removes skeleton pixels, row by row, that have two or more neighbours which stay one object without them; later pixels see earlier removals, so it is one kernel call per image."""
+    import numpy as np
+    import pandas as pd
+
+    one_object = np.array([bin(c).count("1") >= 2 and _objects(c, False) < 2 for c in range(256)])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = np.zeros((int(pdf["y"].max()) + 3, int(pdf["x"].max()) + 3), dtype=bool)
+        a[pdf["y"] + 1, pdf["x"] + 1] = pdf["v"] > 0
+        for y, x in zip(*np.nonzero(a), strict=True):
+            code = sum(1 << k for k, (dx, dy) in enumerate(EIGHT) if a[y + dy, x + dx])
+            a[y, x] = not one_object[code]
+        return pdf.assign(v=np.where(a[pdf["y"] + 1, pdf["x"] + 1], pdf["v"], 0.0))
+
+    return df.select(*KEY, "v").groupBy("image_id").applyInPandas(run, "image_id string, x int, y int, v double")
+
+
+def threshold_gradient(df: DataFrame, level: float) -> DataFrame:
+    """Pixels above a level as a binary skeleton, with the place of the largest value of each image (the first in rows)."""
+    best = F.min_by(F.struct("x", "y"), F.struct(-F.col("v"), "y", "x"))
+    top = df.filter(F.col("v") > level).groupBy("image_id").agg(best.alias("top"))
+    out = df.join(top, "image_id", "left")
+    return out.select(*KEY, (F.col("v") > level).alias("skeleton"), ((F.col("x") == F.col("top.x")) & (F.col("y") == F.col("top.y"))).alias("strongest"))

@@ -117,6 +117,7 @@ def _unfilter(raw: bytes, rows: int, width: int, step: int) -> np.ndarray:
     return out[1:, step:].astype(np.uint8)
 
 
+# First column and row, and steps, of the seven interlace passes.
 ADAM7 = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
 
 
