@@ -38,7 +38,9 @@ K1, B = 1.2, 0.75
 POSTINGS_PER_BLOCK = 16
 SHINGLE = 5
 FILTER_BITS = 22
-PAIRS = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, passage_start long"
+LEAK = "item_id: bigint, score: double, question_overlap: double, answer_overlap: double, passage_start: bigint"
+FIELDS = [f.split(":")[0] for f in LEAK.split(", ")]
+PAIRS = "doc_id: bigint, " + LEAK
 
 
 def pair_terms(words: np.ndarray) -> np.ndarray:
@@ -221,16 +223,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, bl
     return docs.sparkSession.createDataFrame([], PAIRS) if found is None else found
 
 
-def _search_block(docs: DataFrame, index: Index) -> DataFrame:
+def _leaks_of(docs: DataFrame, index: Index):
+    """A function from a text column to its leaks, as an array of structs; only texts go to Python."""
     shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by block_bytes
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = shared.value
-        for pdf in frames:
-            rows = [(d, *leak) for d, text in zip(pdf["doc_id"], pdf["text"], strict=True) for leak in index.leaks(text)]
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "passage_start"])
+    @F.pandas_udf(f"array<struct<{LEAK}>>")
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for t in texts:
+            yield t.map(lambda text: [dict(zip(FIELDS, leak, strict=True)) for leak in shared.value.leaks(text)])
+
+    return lambda text: run(F.coalesce(text, F.lit("")))
+
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, PAIRS)
+def _search_block(docs: DataFrame, index: Index) -> DataFrame:
+    found = docs.select("doc_id", F.explode(_leaks_of(docs, index)(F.col("text"))).alias("leak"))
+    return found.select("doc_id", "leak.*")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, block_bytes: int = 8_000_000, **columns) -> DataFrame:
@@ -241,10 +248,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
 
 
 def _keep_clean(docs: DataFrame, index: Index) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            yield pdf[[not shared.value.leaks(text or "") for text in pdf["text"]]]
-
-    return docs.mapInPandas(run, docs.schema)
+    return docs.filter(F.size(_leaks_of(docs, index)(F.col("text"))) == 0)

@@ -183,18 +183,15 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, labelled: Sequen
     """page_id, host, path, rule, verdict, score (the model's, for every url)."""
     intercept, weights = train(labelled)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            if len(pdf):
-                row, key, value = _features(pdf["host"].tolist(), pdf["path"].tolist())
-                pdf["score"] = 1 / (1 + np.exp(-(intercept + np.bincount(row, value * weights[key], len(pdf)))))
-            else:
-                pdf["score"] = np.empty(0)
-            yield pdf
+    @F.pandas_udf("double")
+    def score(sides: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for hosts, paths in sides:
+            row, key, value = _features(hosts.tolist(), paths.tolist())
+            yield pd.Series(1 / (1 + np.exp(-(intercept + np.bincount(row, value * weights[key], len(hosts))))))
 
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    rows = rows.mapInPandas(run, "page_id long, host string, path string, score double")
+    rows = rows.withColumn("score", score("host", "path"))
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("score") >= threshold, "block").otherwise("allow")
     return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "score")
