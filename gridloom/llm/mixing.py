@@ -111,17 +111,18 @@ def _placed(base: DataFrame, kept: list[str], weights: Sequence[float], budget:
 def mix_plan_rows(docs: DataFrame, **options) -> DataFrame:
     """One narrow row per document, range-sorted by training position: doc_id, size, source_size, target, taken, position."""
     plan = plan_mix(docs.select("doc_id", "text", "source"), **options)
-    return plan.select("doc_id", "size", "source_size", "target", "taken", "position").repartitionByRange("position").sortWithinPartitions("position", "doc_id")
+    # documents that are not taken follow in a hash order, so that they do not share one place
+    order = F.coalesce("position", F.lit(1.0) + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20))
+    out = plan.select("doc_id", "size", "source_size", "target", "taken", "position", order.alias("__order"))
+    return out.repartitionByRange("__order").sortWithinPartitions("__order", "doc_id").drop("__order")
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The training stream: each document once per occurrence in the mix, whole, in order of training position.
 
     A document that the target cuts through is kept whole. Columns are those of ``docs``."""
-    plan = plan_mix(docs, **options)
-    return (
-        plan.withColumn("__position", F.explode("positions"))
-        .repartitionByRange("__position")
-        .sortWithinPartitions("__position")
-        .select(*docs.columns)
-    )
+    names = [options.get(f"{k}_col", d) for k, d in (("id", "doc_id"), ("text", "text"), ("source", "source"))]
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("__row")  # whatever its columns are called, a row stays as it is
+    plan = plan_mix(docs.select(row, *names), **options)
+    placed = plan.select("__row", F.explode("positions").alias("__position")).repartitionByRange("__position").sortWithinPartitions("__position")
+    return placed.select("__row.*")

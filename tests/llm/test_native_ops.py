@@ -124,7 +124,7 @@ def test_mixing_documents_keep_columns_and_repeat(spark):
     rows = [(i, "a b c d", s) for i, s in enumerate("xxxxyyyyzzzz")]
     docs = table(spark, rows)
     out = mixing.mix_documents(docs)
-    assert out.columns == docs.columns
+    assert out.columns == docs.columns and {tuple(r) for r in out.collect()} <= {tuple(r) for r in docs.collect()}
     plan = {r.doc_id: r.taken for r in mixing.mix_plan_rows(docs).collect()}
     assert Counter(r.doc_id for r in out.collect()) == Counter({d: -(-t // 4) for d, t in plan.items() if t})
 
