@@ -17,7 +17,7 @@ documents score alike; columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -100,24 +100,34 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float =
     return centre, scale, w
 
 
+def _document_counts(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes and the number of documents that hold each."""
+    return np.unique(np.concatenate([np.unique(c) for c in codes] or [np.empty(0, dtype=np.uint64)]), return_counts=True)
+
+
+def _apart(codes: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Codes that are clearly commoner in toxic documents: in three at least, by four standard deviations and fourfold."""
+    ordinary, m_all = _document_counts([c for c, label in zip(codes, y, strict=True) if not label])
+    toxic, n = _document_counts([c for c, label in zip(codes, y, strict=True) if label])
+    n0, n1 = int((y == 0).sum()), int((y == 1).sum())
+    if not len(toxic):
+        return toxic
+    m = np.zeros(len(toxic))
+    if len(ordinary):
+        at = np.minimum(np.searchsorted(ordinary, toxic), len(ordinary) - 1)
+        m = np.where(ordinary[at] == toxic, m_all[at], 0)
+    p = (n + m) / (n0 + n1)
+    z = (n - p * n1) / np.sqrt(p * n1 * (1 - p) + 1e-9)
+    return toxic[(n >= 3) & (z >= 4) & (n / n1 > 4 * (m + 0.5) / n0)]
+
+
 def fit(texts: list[str], toxic: list[int], ordinary_bytes: int = 8192, toxic_bytes: int = 4096) -> Model | None:
     """Dictionaries and calibration from labelled texts; None unless both classes are there."""
     y = np.array(toxic)
     if not len(y) or y.min() == y.max():
         return None
     codes = [coded(t or "") for t in texts]
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for c, label in zip(codes, y, strict=True):
-        seen[label].update(np.unique(c).tolist())
-    n0, n1 = int((y == 0).sum()), int((y == 1).sum())
-    apart = []
-    for code, n in seen[1].items():
-        m = seen[0][code]
-        p = (n + m) / (n0 + n1)
-        z = (n - p * n1) / np.sqrt(p * n1 * (1 - p) + 1e-9)
-        if n >= 3 and z >= 4 and n / n1 > 4 * (m + 0.5) / n0:
-            apart.append(code)
-    apart_codes = np.array(sorted(apart), dtype=np.uint64)
+    apart_codes = _apart(codes, y)
     marked = [c[np.isin(c, apart_codes).any(axis=1)].tobytes() for c, label in zip(codes, y, strict=True) if label]
     plain = [c[i : i + 16].tobytes() for c, label in zip(codes, y, strict=True) if not label for i in range(0, len(c), 16)]
     # evenly spaced windows of all ordinary documents
@@ -134,7 +144,7 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == 0
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, max_chars: int = 50_000) -> tuple[list[str], list[int]]:
+def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int = 1000, max_chars: int = 50_000) -> DataFrame:
     """The bounded training sample, none of it held out."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -144,37 +154,44 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, max_
         some = known.filter(F.col("toxic") == label).orderBy(*order).limit(max_docs)
         chosen = some if chosen is None else chosen.unionByName(some)
     # at most two times max_docs ids: broadcast, so that no text is shuffled
-    rows = docs.select("doc_id", "text").filter(F.char_length("text") <= max_chars).join(F.broadcast(chosen), "doc_id")
-    found = rows.toPandas().sort_values(["toxic", "doc_id", "text"], ascending=[False, True, True])
-    return found["text"].tolist(), found["toxic"].tolist()
+    return docs.select("doc_id", "text").filter(F.char_length("text") <= max_chars).join(F.broadcast(chosen), "doc_id")
 
 
-def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row."""
+def train(docs: DataFrame, labels: DataFrame, **sample) -> Model | None:
+    """Fits the model in one task on the bounded sample, so that only dictionaries and weights reach the driver."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([pd.DataFrame({"doc_id": [], "text": [], "toxic": []}), *frames]).sort_values(["toxic", "doc_id", "text"], ascending=[False, True, True])
+        yield pd.DataFrame({"model": [pickle.dumps(fit(rows["text"].tolist(), rows["toxic"].astype(int).tolist()))]})
+
+    found = training_rows(docs, labels, **sample).repartition(1).mapInPandas(run, "model binary").first()
+    return pickle.loads(found["model"]) if found else None
+
+
+def score_column(text: Column, model: Model | None) -> Column:
+    """The score of a text column; only that column goes to Python."""
+
+    @F.pandas_udf("double")
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         score = model.scorer() if model is not None else (lambda text: 0.0)
-        for pdf in frames:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "score": [score(t) for t in pdf["text"]]})
+        for t in texts:
+            yield t.map(score).astype("float64")
+
+    return run(F.coalesce(text, F.lit("")))
 
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    scored = rows.mapInPandas(run, "doc_id long, held_out boolean, score double")
+
+def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row."""
+    scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score_column(F.col("text"), model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **sample) -> DataFrame:
     """Trains on the labelled rows that aren't held out and scores all documents."""
-    return score_documents(docs, fit(*training_rows(docs, labels, **sample)))
+    return score_documents(docs, train(docs, labels, **sample))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **sample) -> DataFrame:
     """The documents that are not predicted toxic, with their columns as they are."""
-    model = fit(*training_rows(docs, labels, **sample))
-    kept = docs.schema
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        score = model.scorer() if model is not None else (lambda text: 0.0)
-        for pdf in frames:
-            yield pdf[[score(t) < 0.5 for t in pdf["text"]]]
-
-    return docs.mapInPandas(run, kept)
+    model = train(docs, labels, **sample)
+    return docs.filter(score_column(F.col("text"), model) < 0.5)
