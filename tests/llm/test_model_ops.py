@@ -135,3 +135,13 @@ def test_queries_run(spark, name):
 def test_no_data_in_the_repository():
     top = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
     assert not [f for _, _, fs in os.walk(os.path.join(top, "gridloom")) for f in fs if f.endswith((".parquet", ".json", ".model"))]
+
+
+def test_counts_by_pieces_equal_the_library():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    model, count = Tokenizer.from_file(path), tokens._counter(path)
+    rng = random.Random(1)
+    signs = "aZé ß\n\t  '.,!0159'streÿ×÷~<|endoftext|>\r\x0b\x85\xa0²ªя中😀"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(40))) for _ in range(4000)]
+    texts += ["<|endoftext|>", "it's we'll I'D 'S", "  a  ", "\n\n b", "a \n", "", "x" * 5000, " " * 300]
+    assert count(texts) == [len(e.ids) for e in model.encode_batch(texts, add_special_tokens=False)]
