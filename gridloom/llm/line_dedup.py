@@ -50,7 +50,8 @@ def with_chunks(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rk"))
+    # 128 bits stand for a row; one key for both joins on it, so that its texts are shuffled once
+    return docs.select("doc_id", "text", F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64("text", "doc_id").alias("b")).alias("rk"))
 
 
 def _chunk_text(lines: str, at: Column) -> Column:
@@ -58,7 +59,7 @@ def _chunk_text(lines: str, at: Column) -> Column:
 
 
 def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
-    """Chunks to remove, from (doc_id, text, rk) rows: doc_id, rk, gone (array of chunk, start, n)."""
+    """Chunks to remove, from (doc_id, text, rk) rows: rk, gone (array of chunk, start, n)."""
     chunked = with_chunks(docs.filter(F.col("text").isNotNull()), divisor)
     worth = F.filter(
         "chunks",
@@ -69,25 +70,22 @@ def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     )
     hashed = hashed.select("doc_id", "rk", F.col("c.at").alias("at"), F.col("c.h").alias("h"))
     shared = hashed.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    wanted = hashed.join(shared, "h").groupBy("rk", "doc_id").agg(F.collect_set("at").alias("cand"))
-    texts = docs.join(wanted.withColumnRenamed("doc_id", "id"), ["rk"]).filter(F.col("doc_id").eqNullSafe(F.col("id"))).drop("id")
-    texts = texts.dropDuplicates(["rk", "doc_id"])
+    wanted = hashed.join(shared, "h").groupBy("rk").agg(F.collect_set("at").alias("cand"))
+    texts = docs.join(wanted, "rk")
     texts = texts.withColumn("lines", F.split("text", "\n", -1)).select("doc_id", "rk", "lines", F.explode("cand").alias("at"))
     texts = texts.select("doc_id", "rk", "at", _chunk_text("lines", F.col("at")).alias("body"))
     # grouping and joining on the text itself compares bytes
     first = texts.groupBy("body").agg(F.min(F.struct("doc_id", "rk", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     later = texts.join(first, "body").filter(~F.struct("doc_id", "rk", "at").eqNullSafe(F.col("first")))
-    return later.groupBy("rk", "doc_id").agg(F.collect_set("at").alias("gone"))
+    return later.groupBy("rk").agg(F.collect_set("at").alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     """One row per document: doc_id, n_lines, removed_chunks, removed_lines and the text without them."""
     rows = _keyed(docs)
-    gone = repeated_chunks(rows, divisor).withColumnRenamed("doc_id", "id")
+    gone = repeated_chunks(rows, divisor)
     none = F.expr("cast(array() as array<struct<chunk: int, start: int, n: int>>)")
-    out = rows.join(gone, (rows["rk"] == gone["rk"]) & rows["doc_id"].eqNullSafe(gone["id"]), "left").select(
-        rows["doc_id"], rows["text"], F.coalesce("gone", none).alias("gone")
-    )
+    out = rows.join(gone, "rk", "left").select("doc_id", "text", F.coalesce("gone", none).alias("gone"))
     out = out.withColumn("lines", F.split("text", "\n", -1))
     dropped = F.flatten(F.transform("gone", lambda c: F.sequence(c["start"], c["start"] + c["n"] - 1)))
     out = out.withColumn("dropped", dropped)
