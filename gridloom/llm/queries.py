@@ -16,6 +16,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"))
 
 
+def op1_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_passages(read_table(spark, sf_dir, "documents"))
+
+
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(read_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
@@ -66,6 +70,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_line_dedup,
+        op1_passage_dedup,
         op2_nearest_neighbours,
         op3_decontamination,
         op4_mixing,
@@ -144,7 +149,8 @@ FROM p
 OP5_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                    '[^ 	-]+') AS ws
+                                    '[^ 	-
+]+') AS ws
   FROM documents),
 s AS (
   SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS sh

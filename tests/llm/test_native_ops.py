@@ -79,6 +79,44 @@ def test_line_dedup_empty(spark):
     assert line_dedup.dedup_lines(table(spark, [])).count() == 0
 
 
+def passages_brute(rows):
+    """Every run of 50 words or more, and every chunk of two or more lines, goes from all places but the first."""
+    firsts, out = {}, {}
+    docs = [(d, chunks_of(t)) for d, t in sorted(rows)]
+    for d, (lines, chunks) in docs:
+        words = [len(re.findall(r"[^ \t]+", x)) for x in lines]
+        runs = {(s, e) for s in range(len(lines)) for e in range(s, len(lines)) if words[s] and words[e] and sum(words[s : e + 1]) >= 50}
+        runs = [("run", s, e) for s, e in runs] + [("chunk", s, s + len(b) - 1) for s, b in chunks if len(b) > 1]
+        gone = set()
+        for kind, s, e in sorted(runs, key=lambda r: r[1]):
+            at, begin = firsts.setdefault((kind, tuple(lines[s : e + 1])), (d, s))
+            if (at, begin) != (d, s):
+                gone |= set(range(s, e + 1)) - (set(range(begin, begin + e - s + 1)) if at == d else set())
+        out[d] = (len(lines), len(gone), "\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else "\n".join(lines))
+    return out
+
+
+def test_passage_dedup_against_brute_force(spark):
+    rng = random.Random(11)
+    long = " ".join(f"p{i}" for i in range(60))
+    shared = [[" ".join(f"s{k} {i} {j}" for j in range(rng.randrange(2, 12))) for i in range(2 + k)] for k in range(8)]
+    rows = []
+    for d in range(80):
+        lines = [f"own {d} {i}" for i in range(rng.randrange(2, 7))]
+        at = rng.randrange(1, len(lines))
+        lines[at:at] = [long] if d % 3 == 0 else shared[d % 8] if d % 3 == 1 else []
+        rows.append((d, "\n".join(lines)))
+    rows += [(100, ""), (101, "\n".join(["again " * 10] * 17)), (102, f"a\n\n{long}\n \n{long} x\nb"), (103, f"c\n\n{long}\n \n{long} x\nd"), (104, "e\n" + "\n".join(["w " * 24, "", "w " * 25]))]
+    rows += [(105, "f\n" + "\n".join(["w " * 24, "", "w " * 25])), (106, "word " * 30000)]
+    got = {r.doc_id: r for r in line_dedup.dedup_passages(table(spark, [(d, t, "s") for d, t in rows] + [(200, None, "s")])).collect()}
+    assert (got[200].n_lines, got[200].removed_lines, got[200].text) == (0, 0, None)
+    assert sum(long in (r.text or "").split("\n") for r in got.values()) == 1
+    blank = lambda t: [x for x in t.split("\n") if x.strip()]
+    for d, (n, _, text) in passages_brute(rows).items():
+        assert (got[d].n_lines, blank(got[d].text)) == (n, blank(text))
+    assert line_dedup.dedup_passages(table(spark, [])).count() == 0
+
+
 # mixing
 
 
