@@ -13,7 +13,10 @@ lies whole in one of them. Each passage queries the index for all items that sco
 
 A retrieved item counts as leaked if both its question and its answer are there: of the 5-word shingles of
 each part, 80 % or more occur in the passage. Where the benchmark has one text column, the last quarter of an
-item's words (one at least) is its answer.
+item's words (one at least) is its answer. The 80 % are then asked of the whole item, and of each part what it can
+still have after one changed word, which takes five shingles; and an item of five words or more has leaked too if the
+passage holds it with one word changed, left out or put in, which takes more than 20 % of a short item's shingles.
+The score is asked for in any case.
 
 The index is built of blocks of items, each block's text bounded by ``block_bytes``; documents are read once
 per block, so no index outgrows an executor. There is no shuffle; a document of any length is one row.
@@ -51,11 +54,14 @@ def pair_terms(words: np.ndarray) -> np.ndarray:
 class Index:
     """Inverted index over test items with term and block maxima of normalised BM25 impacts."""
 
-    def __init__(self, item_ids: list[int], questions: list[np.ndarray], answers: list[np.ndarray], threshold: float):
+    def __init__(self, item_ids: list[int], questions: list[np.ndarray], answers: list[np.ndarray], threshold: float, one_text: list[bool] | None = None):
         self.item_ids, self.threshold = item_ids, threshold
+        self.one_text = one_text or [False] * len(item_ids)
         self.parts = [(np.unique(shingle_hashes(q, SHINGLE)), np.unique(shingle_hashes(a, SHINGLE))) for q, a in zip(questions, answers, strict=True)]
         self.widths = [(min(SHINGLE, len(q)), min(SHINGLE, len(a))) for q, a in zip(questions, answers, strict=True)]
         words = [np.concatenate([q, a]) for q, a in zip(questions, answers, strict=True)]
+        self.words = words
+        self.whole = [np.unique(shingle_hashes(w, SHINGLE)) for w in words]
         self.longest = max([len(w) for w in words], default=0)
         terms = [pair_terms(w) for w in words]
         n, average = len(words), max(1.0, sum(map(len, terms)) / max(1, len(terms)))
@@ -170,11 +176,25 @@ class Index:
         for i in np.flatnonzero((bound >= self.threshold) & (high > low)):
             there = np.unique(term[low[i] : high[i]])
             for item, score in self.search(there):
-                q, a = self.overlaps(item, words[spans[i, 0] : spans[i, 1]])
-                if min(q, a) >= 0.8 and (item not in best or score > best[item][1]):
+                passage = words[spans[i, 0] : spans[i, 1]]
+                q, a = self.overlaps(item, passage)
+                if self.leaked(item, passage, q, a) and (item not in best or score > best[item][1]):
                     best[item] = (self.item_ids[item], score, q, a, int(spans[i, 0]))
         return [best[k] for k in sorted(best)]
 
+    def leaked(self, item: int, passage: np.ndarray, question: float, answer: float) -> bool:
+        """Whether the passage holds question and answer, whose shares of shingles there are given."""
+        if min(question, answer) >= 0.8:
+            return True
+        if not self.one_text[item]:
+            return False
+        words, whole = self.words[item], self.whole[item]
+        least = [min(0.8, 1 - SHINGLE / max(SHINGLE, len(x))) for x in self.parts[item]]
+        width = min(SHINGLE, len(words))
+        if question >= least[0] - 1e-12 and answer >= least[1] - 1e-12 and len(passage) >= width and np.isin(whole, shingle_hashes(passage, width)).mean() >= 0.8:
+            return True
+        return len(words) >= SHINGLE and one_edit_away(words, passage)
+
     def overlaps(self, item: int, words: np.ndarray) -> tuple[float, float]:
         out = []
         for shingles, width in zip(self.parts[item], self.widths[item], strict=True):
@@ -187,6 +207,20 @@ class Index:
         return out[0], out[1]
 
 
+def one_edit_away(words: np.ndarray, passage: np.ndarray) -> bool:
+    """Whether the words stand in the passage, with one of them at most replaced, left out or put in."""
+    n, m = len(words), len(passage)
+    if m < n - 1:
+        return False
+    same = np.zeros((m + n + 1, n), dtype=bool)
+    same[:m] = passage[:, None] == words[None, :]
+    j, s = np.arange(n), np.arange(m + 1)
+    ahead = np.cumprod(same[s[:, None] + j, j], axis=1).sum(axis=1)  # words that match from place s on
+    back = s[:, None] - 1 - j
+    behind = np.cumprod((back >= 0) & same[np.maximum(back, 0), n - 1 - j], axis=1).sum(axis=1)  # that match up to place s
+    return any(bool((ahead[: m + 1 - size] + behind[size:] >= need).any()) for size, need in ((n, n - 1), (n - 1, n - 1), (n + 1, n)) if size <= m)
+
+
 def split_item(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of an item's question and answer."""
     words = plain_words(text)[2]
@@ -205,7 +239,7 @@ def item_blocks(benchmark: DataFrame, block_bytes: int, question_col: str | None
         parts = split_item(r["q"]) if r["a"] is None else (plain_words(r["q"])[2], plain_words(r["a"])[2])
         if len(parts[0]) + len(parts[1]) == 0:
             continue
-        block.append((r["item_id"], *parts))
+        block.append((r["item_id"], *parts, r["a"] is None))
         size += len(r["q"]) + len(r["a"] or "")
         if size >= block_bytes:
             yield block
@@ -214,11 +248,16 @@ def item_blocks(benchmark: DataFrame, block_bytes: int, question_col: str | None
         yield block
 
 
+def _index(block: list[tuple], threshold: float) -> Index:
+    ids, questions, answers, one_text = map(list, zip(*block, strict=True))
+    return Index(ids, questions, answers, threshold, one_text)
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, block_bytes: int = 8_000_000, **columns) -> DataFrame:
     """One row per document and leaked item: doc_id, item_id, score, question_overlap, answer_overlap, passage_start (in words)."""
     found = None
     for block in item_blocks(benchmark, block_bytes, **columns):
-        part = _search_block(docs, Index([x[0] for x in block], [x[1] for x in block], [x[2] for x in block], threshold))
+        part = _search_block(docs, _index(block, threshold))
         found = part if found is None else found.unionByName(part)
     return docs.sparkSession.createDataFrame([], PAIRS) if found is None else found
 
@@ -243,7 +282,7 @@ def _search_block(docs: DataFrame, index: Index) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, block_bytes: int = 8_000_000, **columns) -> DataFrame:
     """The documents in which no item of the benchmark leaked, with their columns as they are."""
     for block in item_blocks(benchmark, block_bytes, **columns):
-        docs = _keep_clean(docs, Index([x[0] for x in block], [x[1] for x in block], [x[2] for x in block], threshold))
+        docs = _keep_clean(docs, _index(block, threshold))
     return docs
 
 

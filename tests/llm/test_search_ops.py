@@ -106,6 +106,24 @@ def test_block_max_wand_finds_all_above_threshold(seed):
         assert set(found) == want and all(abs(found[i] - score[i]) < 1e-9 for i in want)
 
 
+@pytest.mark.parametrize("n", [12, 20, 24, 28, 29, 36])
+def test_leaks_with_one_edit_at_every_place(n):
+    rng = random.Random(n)
+    items = [words(rng, n) for _ in range(30)]
+    parts = [decontamination.split_item(" ".join(w)) for w in items]
+    index = decontamination._index([(i, q, a, True) for i, (q, a) in enumerate(parts)], 0.5)
+    for at in range(n):
+        item = at % 30
+        w = items[item]
+        for edited in (w[:at] + ["edit"] + w[at + 1 :], w[:at] + ["edit"] + w[at:], w[:at] + w[at + 1 :]):
+            text = " ".join(words(rng, rng.randrange(90)) + edited + words(rng, rng.randrange(90)))
+            assert [x[0] for x in index.leaks(text)] == [item], (at, edited)
+        question = w[: len(parts[item][0])]
+        assert index.leaks(" ".join(words(rng, 30) + question + words(rng, 30))) == []
+    apart = decontamination.Index([0], [parts[0][0]], [parts[0][1]], 0.5)  # two columns: each part by itself
+    assert apart.leaks(" ".join(items[0])) and not apart.leaks(" ".join(items[0][:-3] + ["edit"] + items[0][-2:]))
+
+
 # near-duplicates
 
 
