@@ -67,6 +67,12 @@ register(
     matching.SYM + " SELECT 'f' AS file, 'Skel' AS detector, CAST(k AS INT) AS k, sum(repeated) / count(*) AS value FROM sy GROUP BY k",
     "keypoints",
 )
+register(
+    "src19_results_full",
+    lambda s, d: I.read_results(O.curve_lines(match.mean_curve(matching.full_curves(s, d)), "Skel").withColumn("file", F.lit("f"))).select("file", "detector", "k", "value"),
+    matching.FULL_SYM + " SELECT 'f' AS file, 'Skel' AS detector, CAST(k AS INT) AS k, sum(repeated) / count(*) AS value FROM sy GROUP BY k",
+    "keypoints",
+)
 register("snk12_scene_lines", lambda s, d: O.scene_lines(match.scene_summary(matching.metrics(s, d)), "Skel").groupBy("part").agg(F.count("*").alias("n"), F.min(F.substring_index("text", ",", 1)).alias("first")),
          """ SELECT part, CAST(CASE WHEN part IN (1, 4) THEN (SELECT count(DISTINCT scene) FROM keypoints) WHEN part = 3 THEN 2 ELSE 1 END AS BIGINT) AS n,
     CASE part WHEN 0 THEN 'Skel' WHEN 1 THEN '0' WHEN 2 THEN 'Total' WHEN 3 THEN '' ELSE '0' END AS first FROM (VALUES (0), (1), (2), (3), (4)) t(part)""", "keypoints")

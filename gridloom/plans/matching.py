@@ -85,11 +85,48 @@ register("agg13_scene_summary", lambda s, d: M.scene_summary(metrics(s, d)),
          METRICS + " SELECT scene, ap AS map, coverage FROM me UNION ALL SELECT 'Total', sum(ap) / count(*), sum(coverage) / count(coverage) FROM me", "keypoints")
 register("agg15_overall", lambda s, d: M.overall(metrics(s, d).withColumn("ap", F.when(F.col("scene") != "3", F.col("ap")))),
          METRICS + " SELECT count(*) AS pairs, count(*) FILTER (scene = '3') AS failed, sum(CASE WHEN scene <> '3' THEN ap END) / count(*) AS map FROM me", "keypoints")
+# The same at the reference's sizes: 1000 points for curves, 100 repeated ones for precision, 200 points for coverage and repeated pairs, 5000 for reprojection.
+
+
+def sized(sql, *sizes):
+    for old, new in sizes:
+        assert old in sql
+        sql = sql.replace(old, new)
+    return sql
+
+
+def full_curves(s, d):
+    return M.symmetric_matches(first(s, d), second(s, d), 300.0, 1000, BY)
+
+
+def full_metrics(s, d):
+    return M.average_precision(flags(s, d), 100, BY).join(M.coverage(first(s, d), 200, BY), BY)
+
+
+FULL_ONE, FULL_SYM = sized(ONE, ("< 12", "< 1000")), sized(SYM, ("< 12", "< 1000"))
+FULL_AP = sized(AP, (">= 5 ", ">= 100 "), ("<= 5)", "<= 100)"), ("/ 5 ", "/ 100 "))
+FULL_COVER = sized(COVER, ("< 15", "< 200"), ("/ 14", "/ 199"), (">= 15", ">= 200"), ("THEN 15 ", "THEN 200 "))
+FULL_METRICS = FULL_AP + FULL_COVER[len(AB):] + METRICS[len(AP) + len(COVER[len(AB):]):]
+# the reference takes the first 200 points, but a match's rank may be 200
+register("jn03_repeated_pairs_full", lambda s, d: M.repeated_pairs(first(s, d), second(s, d), 60.0, 200, BY).filter("i < 200"), FLAGS + " SELECT scene, i, j FROM f WHERE repeated AND i < 200 AND j <= 200", "keypoints")
+register("jn04_prefix_matches_full", lambda s, d: M.prefix_matches(first(s, d), second(s, d), 300.0, 1000, BY), AB + FULL_ONE + " SELECT scene, k, repeated::DOUBLE AS repeated, matched::DOUBLE AS matched FROM ec", "keypoints")
+register("jn05_symmetric_matches_full", full_curves, FULL_SYM + " SELECT * FROM sy", "keypoints")
+register("jn06_pair_distances_full", lambda s, d: M.pair_distances(first(s, d), 200, BY), FULL_COVER + " SELECT * FROM dd", "keypoints")
+register("agg10_average_precision_full", lambda s, d: M.average_precision(flags(s, d), 100, BY), FULL_AP + " SELECT * FROM ap", "keypoints")
+register("agg11_coverage_full", lambda s, d: M.coverage(first(s, d), 200, BY), FULL_COVER + " SELECT DISTINCT a.scene, cv.coverage FROM a LEFT JOIN cv USING (scene)", "keypoints")
+register("agg12_mean_curve_full", lambda s, d: M.mean_curve(full_curves(s, d)), FULL_SYM + " SELECT k, sum(repeated) / count(*) AS repeated, sum(matched) / count(*) AS matched FROM sy GROUP BY k", "keypoints")
+register("agg13_scene_summary_full", lambda s, d: M.scene_summary(full_metrics(s, d)),
+         FULL_METRICS + " SELECT scene, ap AS map, coverage FROM me UNION ALL SELECT 'Total', sum(ap) / count(*), sum(coverage) / count(coverage) FROM me", "keypoints")
+register("agg14_mean_curve_by_scene_full", lambda s, d: M.mean_curve(full_curves(s, d), BY), FULL_SYM + " SELECT scene, k, repeated, matched FROM sy", "keypoints")
+register("agg15_overall_full", lambda s, d: M.overall(full_metrics(s, d).withColumn("ap", F.when(F.col("scene") != "3", F.col("ap")))),
+         FULL_METRICS + " SELECT count(*) AS pairs, count(*) FILTER (scene = '3') AS failed, sum(CASE WHEN scene <> '3' THEN ap END) / count(*) AS map FROM me", "keypoints")
 PROJ = """, h AS (SELECT scene, kp_id, response, x, y, (1.02 * x + 0.01 * y - 3) / (0.00001 * x + 0.00002 * y + 1) AS px, (-0.015 * x + 0.99 * y + 4) / (0.00001 * x + 0.00002 * y + 1) AS py FROM keypoints)"""
 register("scl07_project", lambda s, d: A.keypoints(s, d).select("kp_id", *[F.round(c, 6).alias(n) for c, n in zip(scalar.project(H, F.col("x"), F.col("y")), ("px", "py"), strict=True)]),
          PROJ + " SELECT kp_id, round(px, 6) AS px, round(py, 6) AS py FROM h", "keypoints")
 register("jn12_reproject", lambda s, d: K.reproject(A.keypoints(s, d), H, 800, 700, 30, BY).select("scene", "kp_id", "i"),
          PROJ + " SELECT * FROM (SELECT scene, kp_id, CAST(row_number() OVER (PARTITION BY scene ORDER BY response DESC, x, y) - 1 AS INT) AS i FROM h WHERE NOT (px < 0 OR px > 800 OR py < 0 OR py > 700)) WHERE i < 30", "keypoints")
+register("jn12_reproject_full", lambda s, d: K.reproject(A.keypoints(s, d), H, 800, 700, 5000, BY).select("scene", "kp_id", "i"),
+         PROJ + " SELECT * FROM (SELECT scene, kp_id, CAST(row_number() OVER (PARTITION BY scene ORDER BY response DESC, x, y) - 1 AS INT) AS i FROM h WHERE NOT (px < 0 OR px > 800 OR py < 0 OR py > 700)) WHERE i < 5000", "keypoints")
 register("jn12_reproject_padded", lambda s, d: K.reproject(A.keypoints(s, d), H, 800, 700, 30, BY, 200).groupBy("scene").agg(F.count("*").alias("n"), F.count_if(F.col("response").isNull()).alias("padding")),
          PROJ + " SELECT scene, 200::BIGINT AS n, 200 - least(30, count(*) FILTER (NOT (px < 0 OR px > 800 OR py < 0 OR py > 700))) AS padding FROM h GROUP BY scene", "keypoints")
 register("snk08_status", lambda s, d: K.status(first(s, d), flags(s, d).filter("repeated"), 800, 700, BY).groupBy("scene", "status").agg(F.count("*").alias("n")),

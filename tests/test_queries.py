@@ -4,10 +4,11 @@ import glob
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
-from gridloom.plans import ORACLES, QUERIES
+from gridloom.plans import ORACLES, QUERIES, matching
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,3 +43,23 @@ def test_query(spark, duck, name):
         columns = [c[0] for c in found.description]
         assert sorted(columns) == sorted(df.columns)
         assert canon(got, df.columns) == canon(found.fetchall(), columns)
+
+
+def test_full_sizes(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    p = rng.uniform(0, 700, (2, 260, 2))
+    rows = [("s", str(m), m * 1000 + i, float(x), float(y), 1000.0 - i, rng.normal(size=64).tolist()) for m in (0, 1) for i, (x, y) in enumerate(p[m])]
+    table = spark.createDataFrame(rows, "scene string, image_id string, kp_id long, x double, y double, response double, descriptor array<double>")
+    monkeypatch.setattr(matching.A, "keypoints", lambda s, d: table)
+    run = lambda name: QUERIES[name](spark, "").collect()
+    close = ((p[0][:, None] - p[1][None]) ** 2).sum(-1) <= 3600
+    match = {i: int(np.flatnonzero(row)[0]) for i, row in enumerate(close) if row.any()}
+    assert {(r.i, r.j) for r in run("jn03_repeated_pairs_full")} == {(i, j) for i, j in match.items() if i < 200 and j <= 200}
+    assert abs(run("agg10_average_precision_full")[0].ap - np.mean([(h + 1) / (i + 1) for h, i in enumerate(sorted(match)[:100])])) < 1e-9
+    d = np.sqrt(((p[0][:200, None] - p[0][None, :200]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    assert len(run("jn06_pair_distances_full")) == 200 * 199
+    assert abs(run("agg11_coverage_full")[0].coverage - 200 / ((1 / d).sum() / 199)) < 1e-6
+    curve = {r.k: r.repeated for r in run("jn04_prefix_matches_full")}
+    near = ((p[0][:, None] - p[1][None]) ** 2).sum(-1) <= 90000
+    assert len(curve) == 260 and all(abs(curve[k] - near[:k, :k].any(axis=1).sum() / k) < 1e-9 for k in curve)
