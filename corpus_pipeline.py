@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the one before kept and returns a DataFrame;
 all but the last return the columns of documents. Between stages the rows are written as Parquet to the
-shared folder and read again, so a lost executor costs one stage's tasks.
+shared folder and read again, so a lost executor costs one stage's tasks. A stage's folder is deleted when the next one
+is written; the last one stays, because the result reads it.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import decontamination, minhash, mixing, sharding, toxicity
 from gridloom.llm.common import shared_path
-from gridloom.session import read_table
+from gridloom.session import read_table, remove_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +54,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = shared_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove_folder(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
