@@ -118,17 +118,18 @@ def scene_lines(summary: DataFrame, name: str) -> DataFrame:
 
 
 def save(contents: DataFrame, folder: str, suffix: str) -> None:
-    """Stores each content as folder/image_id + suffix; the folder must be mounted on every executor."""
+    """Stores each content as folder/image_id + suffix. ``folder`` is a path that every executor mounts or a URI of a file
+    system that Arrow knows (file, hdfs, s3, gs); another scheme is an error."""
 
     def put(rows: Iterator) -> None:
-        import os
+        from pyarrow import fs
 
-        target = folder.removeprefix("file://")
-        os.makedirs(target, exist_ok=True)
+        files, target = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        files.create_dir(target, recursive=True)
         for r in rows:
-            part = os.path.join(target, f".{r['image_id']}.part")
-            with open(part, "wb") as f:
-                f.write(r["content"])
-            os.replace(part, os.path.join(target, f"{r['image_id']}{suffix}"))  # a repeated task writes the same file
+            part = f"{target}/.{r['image_id']}.part"
+            with files.open_output_stream(part) as f:
+                f.write(bytes(r["content"]))
+            files.move(part, f"{target}/{r['image_id']}{suffix}")  # a repeated task writes the same file
 
     contents.foreachPartition(put)

@@ -191,9 +191,13 @@ def test_decoders(tmp_path, spark):
     wav = bytes(22) + (2).to_bytes(2, "little") + bytes(20) + np.array([1, -1, 2, -2], "<i2").tobytes()
     files = spark.createDataFrame([("w", bytearray(b"RIFF" + wav[4:]))], "path string, content binary")
     assert {(r.series_id, r.idx, r.v) for r in readers.decode_wav(files).collect()} == {("w:0", 0, 1), ("w:0", 1, 2), ("w:1", 0, -1), ("w:1", 1, -2)}
-    writers.save(spark.createDataFrame([("img1", bytearray(writers.encode_png(a)))], "image_id string, content binary"), str(tmp_path), ".png")
-    back = readers.read_images(spark, str(tmp_path), "*.png").collect()
-    assert len(back) == 12 and sum(r.v for r in back) == a.sum()
+    one = spark.createDataFrame([("img1", bytearray(writers.encode_png(a)))], "image_id string, content binary")
+    for target in (str(tmp_path / "plain"), f"file://{tmp_path}/uri"):
+        writers.save(one, target, ".png")
+        back = readers.read_images(spark, target, "*.png").collect()
+        assert len(back) == 12 and sum(r.v for r in back) == a.sum()
+    with pytest.raises(Exception, match="nosuch"):
+        writers.save(one, "nosuch://host/folder", ".png")
 
 
 def test_config():
