@@ -1,23 +1,29 @@
 """Approximate nearest neighbours (largest inner product) by a hierarchical k-means tree.
 
-The tree is fitted on a bounded sample (``max_sample`` vectors, in the order of a hash of their ids); every
-vector is indexed: it descends to the leaf of its nearest centres. A query walks the tree best bin first: a
-priority queue holds nodes by the inner product of the query and their centres, and leaves are visited as they
-come up, until the queue's best falls a margin below the query's bound (a lower bound of its k-th score, from the
-sample). The margin is calibrated: for ``calibration`` queries the exact neighbours among all rows are found
-by brute force (blocks of rows against this small query set), and the margin is widened until the leaves
-visited hold ``recall`` of them. Queries meet the vectors of their leaves by a shuffle on leaf;
-scores are inner products of the original vectors in double precision, added in order of the components.
+The upper levels of the tree are fitted on a bounded sample (at most ``max_sample`` vectors, those of the smallest hashes
+of their ids); its leaves are cells of about ``cell_rows`` rows (more, once that would ask for more than a cell for
+every eight vectors of the sample). Every vector is indexed: it descends to the cell of its nearest centres, and the
+rows of a cell are split on by k-means where they lie, down to leaves of ``leaf_rows`` at most, so leaves do
+not grow with the table.
+
+A query walks the upper levels best bin first: a priority queue holds nodes by the inner product of the query and their
+centres, and cells are visited as they come up, until the queue's best falls a margin below the query's bound (a
+lower bound of its k-th score, from the sample). In a cell it meets the leaves whose centres come within a
+second margin of the bound, and only rows that reach the bound come back. The margins are calibrated: for
+``calibration`` queries the exact neighbours among all rows are found by brute force (blocks of rows against this
+small query set), and the margins are widened until the leaves visited hold ``recall`` of them. Scores are inner
+products of the original vectors in double precision, added in order of the components. A query that found fewer
+than k rows that reach its bound is given the rows of the sample that the bound is made of as well.
 
 Hot groups: equal vectors are merged before the shuffle to their 21 smallest ids, more of which no result
-can hold, so a group of copies of any size is a few rows; leaves hold equal shares of the sample, and a leaf
+can hold, so a group of copies of any size is a few rows (Spark limits the groups before their shuffle as well); a cell
 with more than ``block`` rows is dealt to several groups, each of which its queries visit. Vectors of a group
-are held one block at a time while its queries stream past; k rows of a block at most come back for a query.
+are held one block at a time while its queries stream past.
 
 Edge cases: vectors that are null, zero, of another length than most of the sample's, or that hold null or
 non-finite components take no part; fewer candidates than k give fewer rows; ties go to the smaller id;
-repeated (id, vector) rows count once, as do repeated ids with different vectors for the query's own
-exclusion (a row never finds its own id); an empty table gives an empty result; other columns are ignored.
+repeated (id, vector) rows count once; of an id with several vectors the best score counts, and it never finds its own
+id; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +40,8 @@ from pyspark.sql import functions as F
 from gridloom.session import durable
 
 FOUND = "query_id long, vec_id long, score double"
+PLACED = "leaf int, block int, kind int, sub int, id long, vec binary, bound double, floor double"
+CENTRE, ROW, QUERY = 0, 1, 2  # the order in which the kinds of a group stream past
 
 
 @dataclass
@@ -87,8 +95,7 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, steps: int = 8) -> n
     for _ in range(steps):
         label = np.argmin((c * c).sum(1) - 2 * (x @ c.T), axis=1)
         n = np.bincount(label, minlength=len(c))
-        total = np.zeros_like(c)
-        np.add.at(total, label, x)
+        total = (label == np.arange(len(c))[:, None]).astype(np.float64) @ x
         c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c)
     return label
 
@@ -120,28 +127,6 @@ def build_tree(x: np.ndarray, leaf_rows: int, branching: int = 8, seed: int = 2)
     return tree
 
 
-@dataclass
-class Searcher:
-    """What queries need to be routed: the tree, the sample for bounds and the calibrated margin."""
-
-    tree: Tree
-    sample: np.ndarray
-    sample_ids: np.ndarray
-    k: int
-    margin: float = np.inf
-
-    def bounds(self, ids: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """Lower bound of each query's k-th score: its k-th best in the sample, itself left out."""
-        out = np.full(len(x), -np.inf)
-        for at in range(0, len(x), 256):
-            scores = x[at : at + 256] @ self.sample.T
-            scores[self.sample_ids[None, :] == ids[at : at + 256, None]] = -np.inf
-            if scores.shape[1] >= self.k:
-                best = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, -self.k]
-                out[at : at + 256] = best - 1e-9 * np.maximum(1.0, np.abs(best))
-        return out
-
-
 def sums_in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Inner products of paired rows, components added first to last, so equal vectors score equally everywhere."""
     out = np.zeros(len(a))
@@ -171,11 +156,57 @@ def best_of_block(qids: np.ndarray, q: np.ndarray, bounds: np.ndarray, ids: np.n
     return row[nth < k], col[nth < k], score[nth < k]
 
 
+@dataclass
+class Searcher:
+    """What queries need to be routed: the upper tree, a sample for bounds, the calibrated margins and the rows of each cell."""
+
+    tree: Tree
+    sample: np.ndarray
+    sample_ids: np.ndarray
+    k: int
+    margin: float = np.inf
+    leaf_margin: float = np.inf
+    held: dict[int, int] = field(default_factory=dict)
+    block: int = 32768
+
+    @property
+    def width(self) -> int:
+        return self.sample.shape[1]
+
+    def blocks(self, cell: int) -> int:
+        return -(-self.held.get(cell, 0) // self.block)
+
+    def in_sample(self, ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+        """Lower bound of each query's k-th score, its k-th best in the sample without itself (none: -inf), and the best themselves."""
+        row, col, score = best_of_block(ids, x, np.full(len(x), -np.inf), self.sample_ids, self.sample, self.k)
+        out = np.full(len(x), -np.inf)
+        full = np.bincount(row, minlength=len(x)) >= self.k
+        least = np.full(len(x), np.inf)
+        np.minimum.at(least, row, score)
+        out[full] = least[full] - 1e-9 * np.maximum(1.0, np.abs(least[full]))
+        return out, (row, self.sample_ids[col], score)
+
+    def cells(self, q: np.ndarray, floor: float) -> list[int]:
+        """Cells down to the floor, best bin first."""
+        out = []
+        for cell, reached in self.tree.walk(q):
+            if reached < floor:
+                break
+            out.append(cell)
+        return out
+
+
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, vec) of rows that take part: no nulls, all components finite, not all zero."""
-    v = F.col(vec_col)
-    fine = F.forall(v, lambda e: e.isNotNull() & (F.abs(e) < F.lit(float("inf"))) & ~F.isnan(e)) & F.exists(v, lambda e: e != 0)
-    return vectors.select(F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("vec")).filter(F.col("id").isNotNull() & v.isNotNull() & fine)
+    """(id, vec) of rows that take part, vectors as bytes of doubles: no nulls, all components finite, not all zero."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            found = [np.asarray(v, dtype=np.float64) for v in pdf["vec"]]
+            fine = np.array([bool(v.any() and np.isfinite(v).all()) for v in found], dtype=bool)
+            yield pd.DataFrame({"id": pdf["id"][fine], "vec": [v.tobytes() for v, ok in zip(found, fine, strict=True) if ok]})
+
+    given = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    return given.filter("id IS NOT NULL AND vec IS NOT NULL").mapInPandas(run, "id long, vec binary")
 
 
 def merged_copies(rows: DataFrame, k: int) -> DataFrame:
@@ -185,39 +216,142 @@ def merged_copies(rows: DataFrame, k: int) -> DataFrame:
 
 
 def _matrix(column: pd.Series, width: int) -> np.ndarray:
-    return np.stack(column.to_list()).astype(np.float64) if len(column) else np.empty((0, width))
+    return np.frombuffer(b"".join(column), dtype=np.float64).reshape(-1, width) if len(column) else np.empty((0, width))
 
 
-def fit(rows: DataFrame, k: int, max_sample: int, leaf_share: int, seed: int) -> Searcher | None:
-    """Sample and tree; None without rows."""
-    some = rows.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(max_sample).toPandas()
+def some_of(rows: DataFrame, n: int, most: int, seed: int) -> pd.DataFrame:
+    """The at most ``most`` of n rows with the smallest hashes of their ids; no task holds many more than that."""
+    order = F.xxhash64(F.lit(seed), "id")
+    if n > 4 * most:  # the smallest hashes lie below this limit but once in very many cases, in which there are a few fewer
+        rows = rows.filter(order < F.lit(int(-(2**63) + 2**64 * 2 * most / n)))
+    return rows.orderBy(order, "id", "vec").limit(most).toPandas()
+
+
+def fit(rows: DataFrame, n: int, k: int, max_sample: int, cell_rows: int, block: int, seed: int) -> Searcher | None:
+    """Sample and upper tree; None without rows."""
+    some = some_of(rows, n, max_sample, seed)
     if not len(some):
         return None
     lengths = some["vec"].map(len)
     some = some[lengths == lengths.mode()[0]]
-    x = _matrix(some["vec"], 0)
-    tree = build_tree(x, max(8, -(-len(x) // leaf_share)), seed=seed)
-    return Searcher(tree, x, some["id"].to_numpy(), k)
+    x = _matrix(some["vec"], len(some["vec"].iloc[0]) // 8)
+    cells = max(1, -(-n // cell_rows))
+    tree = build_tree(x, max(8, -(-len(x) // cells)), seed=seed)
+    few = min(len(x), -(-n // 4))  # a quarter of a small table gives bounds that some 4 k rows reach, so that its tree is searched
+    return Searcher(tree, x[:few], some["id"].to_numpy()[:few], k, block=block)
+
+
+def index_rows(rows: DataFrame, s: Searcher, leaf_rows: int) -> DataFrame:
+    """All rows by cell, block and leaf, and the centres of the leaves, as PLACED rows; counts the rows of cells."""
+    width, tree = s.width, s.tree
+
+    def descend(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pdf.assign(leaf=tree.assign(_matrix(pdf["vec"], width)))
+
+    def split(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", ignore_index=True)
+        x = _matrix(pdf["vec"], width)
+        inner = build_tree(x, leaf_rows, branching=16)
+        sub = inner.assign(x)
+        at = np.unique(sub)
+        centres = [x[sub == i].mean(axis=0).tobytes() for i in at]
+        both = {"kind": [CENTRE] * len(at) + [ROW] * len(x), "sub": np.append(at, sub), "id": np.append(at, pdf["id"]), "vec": centres + list(pdf["vec"])}
+        return pd.DataFrame({"leaf": pdf["leaf"].iloc[0], "block": pdf["block"].iloc[0], **both, "bound": np.nan, "floor": np.nan})
+
+    placed = durable(rows.filter(F.octet_length("vec") == 8 * width).mapInPandas(descend, "id long, vec binary, leaf int"))
+    s.held = {r["leaf"]: r["n"] for r in placed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # one row per cell
+    blocks = placed.sparkSession.createDataFrame([(c, s.blocks(c)) for c in s.held] or [(0, 1)], "leaf int, blocks int")
+    placed = placed.join(F.broadcast(blocks), "leaf")
+    placed = placed.select("leaf", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), "id", "vec")
+    return durable(placed.groupBy("leaf", "block").applyInPandas(split, PLACED))
 
 
 def calibrate(indexed: DataFrame, s: Searcher, qids: np.ndarray, q: np.ndarray, recall: float) -> None:
-    """Sets the margin at which the leaves visited hold ``recall`` of the calibration queries' true neighbours."""
-    bounds = s.bounds(qids, q)
+    """Sets the margins at which the leaves visited hold ``recall`` of the calibration queries' true neighbours."""
+    bounds, _ = s.in_sample(qids, q)
+    width, k = s.width, s.k
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            row, col, score = best_of_block(qids, q, bounds, pdf["id"].to_numpy(), _matrix(pdf["vec"], q.shape[1]), s.k)
-            yield pd.DataFrame({"query_id": row, "vec_id": pdf["id"].to_numpy()[col], "leaf": pdf["leaf"].to_numpy()[col], "score": score})
-
-    near = indexed.mapInPandas(run, "query_id long, vec_id long, leaf int, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    truth = near.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= s.k).select("query_id", "leaf").toPandas()
-    gaps = []
-    for i, leaves in truth.groupby("query_id")["leaf"]:
+            row, col, score = best_of_block(qids, q, bounds, pdf["id"].to_numpy(), _matrix(pdf["vec"], width), k)
+            yield pd.DataFrame({"query": row, "vec_id": pdf["id"].to_numpy()[col], "score": score, **{c: pdf[c].to_numpy()[col] for c in ("leaf", "block", "sub")}})
+
+    near = indexed.filter(F.col("kind") == ROW).mapInPandas(run, "query int, vec_id long, score double, leaf int, block int, sub int")
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    truth = durable(near.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k).select("query", "leaf", "block", "sub"))
+    # at most k rows for each calibration query
+    centres = indexed.filter(F.col("kind") == CENTRE).join(F.broadcast(truth), ["leaf", "block", "sub"]).select("query", "leaf", "vec").toPandas()
+    if not len(centres) or not np.isfinite(bounds).all():
+        return
+    at = centres["query"].to_numpy()
+    upper = np.empty(len(at))
+    for i, cells in centres.groupby("query")["leaf"]:
         reached = dict(s.tree.walk(q[i]))
-        gaps += [bounds[i] - reached[leaf] for leaf in leaves]
-    gaps = np.sort(np.array(gaps)) if gaps else np.array([np.inf])
-    s.margin = float(gaps[min(len(gaps) - 1, int(np.ceil(recall * len(gaps))))]) if np.isfinite(gaps).all() else np.inf
+        upper[cells.index] = [bounds[i] - reached[c] for c in cells]
+    inner = bounds[at] - (q[at] * _matrix(centres["vec"], width)).sum(axis=1)
+    # the upper walk may lose a third of what may be lost, the leaves the rest
+    s.margin = float(np.sort(upper)[min(len(upper) - 1, int(np.ceil((1 - (1 - recall) / 3) * len(upper))))])
+    inner = np.sort(np.where(upper <= s.margin, inner, np.inf))
+    s.leaf_margin = float(inner[min(len(inner) - 1, int(np.ceil(recall * len(inner))))])
+
+
+def meet(s: Searcher):
+    """A function over the frames of groups in order (centres by leaf, rows by leaf, queries) to what the queries find there."""
+    width, k = s.width, s.k
+
+    def search(centres: np.ndarray, subs: np.ndarray, x: np.ndarray, row_subs: np.ndarray, ids: np.ndarray, asked: pd.DataFrame) -> pd.DataFrame:
+        qids, q = asked["id"].to_numpy(), _matrix(asked["vec"], width)
+        bound, floor = asked["bound"].to_numpy(), asked["floor"].to_numpy()
+        wanted = q @ centres.T >= floor[:, None]
+        first = np.searchsorted(row_subs, subs)
+        last = np.searchsorted(row_subs, subs, side="right")
+        rows, cols, found = [], [], []
+        for i in range(len(subs)):
+            mine = np.flatnonzero(wanted[:, i])
+            scores = q[mine] @ x[first[i] : last[i]].T
+            r, c = np.nonzero(scores >= bound[mine][:, None])
+            rows.append(mine[r])
+            cols.append(c + first[i])
+            found.append(scores[r, c])
+        row, col = np.concatenate(rows), np.concatenate(cols)
+        other = qids[row] != ids[col]
+        row, col, score = row[other], col[other], np.concatenate(found)[other]
+        # the k best as these products have it, with a little more for ties, then exactly
+        order = np.lexsort((-score, row))
+        row, col, score = row[order], col[order], score[order]
+        begin = np.searchsorted(row, row)
+        nth = np.arange(len(row)) - begin
+        kth = score[np.minimum(begin + k - 1, np.searchsorted(row, row, side="right") - 1)] if len(row) else score
+        near = (nth < k) | (score >= kth - 1e-9 * np.maximum(1.0, np.abs(kth)))
+        row, col = row[near], col[near]
+        score = sums_in_order(q[row], x[col])
+        order = np.lexsort((ids[col], -score, row))
+        row, col, score = row[order], col[order], score[order]
+        best = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return pd.DataFrame({"query_id": qids[row[best]], "vec_id": ids[col[best]], "score": score[best]})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, parts, ready = None, {}, None
+        for pdf in frames:
+            keys = pdf[["leaf", "block", "kind"]].to_numpy()
+            edges = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(pdf)]])
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                some, kind = pdf.iloc[a:b], keys[a][2]
+                if at != (keys[a][0], keys[a][1]):
+                    at, parts, ready = (keys[a][0], keys[a][1]), {CENTRE: [], ROW: []}, None
+                if kind != QUERY:
+                    parts[kind].append((some["sub"].to_numpy(), _matrix(some["vec"], width), some["id"].to_numpy()))
+                    continue
+                if ready is None and parts[ROW]:
+                    subs, centres, _ = (np.concatenate(v) for v in zip(*parts[CENTRE], strict=True))
+                    row_subs, x, ids = (np.concatenate(v) for v in zip(*parts[ROW], strict=True))
+                    ready = (centres, subs, x, row_subs, ids)
+                if ready is not None:
+                    for i in range(0, len(some), 1024):
+                        yield search(*ready, some.iloc[i : i + 1024])
+
+    return run
 
 
 def nearest(
@@ -228,80 +362,50 @@ def nearest(
     id_col: str = "vec_id",
     vec_col: str = "embedding",
     max_sample: int = 16384,
-    leaf_share: int = 64,
+    cell_rows: int = 2048,
+    leaf_rows: int = 64,
     calibration: int = 256,
     block: int = 32768,
     seed: int = 2,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row for which ``is_query`` (over its id, named ``id``) holds."""
     spark = vectors.sparkSession
-    rows = merged_copies(usable(vectors, id_col, vec_col), k)
-    queries = usable(vectors, id_col, vec_col).filter(is_query).dropDuplicates(["id", "vec"])
-    rows = durable(rows)
-    s = fit(rows, k, max_sample, leaf_share, seed)
+    given = usable(vectors, id_col, vec_col)
+    rows = durable(merged_copies(given, k))
+    queries = usable(vectors.filter(F.col(id_col).isNotNull()).withColumn("id", F.col(id_col).cast("long")).filter(is_query), id_col, vec_col)
+    queries = queries.dropDuplicates(["id", "vec"])
+    s = fit(rows, rows.count(), k, max_sample, cell_rows, block, seed)
     if s is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    width = s.sample.shape[1]
-    tree = s.tree
-
-    def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    width = s.width
+    def bounded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            yield pdf.assign(leaf=tree.assign(_matrix(pdf["vec"], width)))
-
-    indexed = rows.filter(F.size("vec") == width).mapInPandas(index, "id long, vec array<double>, leaf int")
-    some = queries.filter(F.size("vec") == width).orderBy(F.xxhash64(F.lit(seed + 1), "id"), "id").limit(calibration).toPandas()
+            bounds, (row, ids, score) = s.in_sample(pdf["id"].to_numpy(), _matrix(pdf["vec"], width))
+            ends = np.searchsorted(row, np.arange(1, len(pdf)))
+            yield pdf.assign(bound=bounds, near=np.split(ids, ends), scores=np.split(score, ends))
+
+    asked = queries.filter(F.octet_length("vec") == 8 * width)
+    asked = durable(asked.mapInPandas(bounded, "id long, vec binary, bound double, near array<long>, scores array<double>"))
+    indexed = index_rows(rows, s, leaf_rows)
+    some = some_of(asked.select("id", "vec"), asked.count(), calibration, seed + 1)
     if len(some):
         calibrate(indexed, s, some["id"].to_numpy(), _matrix(some["vec"], width), recall)
-    held = {r["leaf"]: r["n"] for r in indexed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # one row per leaf
-    blocks = {leaf: -(-n // block) for leaf, n in held.items()}
-    n_blocks = F.element_at(F.create_map(*[F.lit(v) for kv in sorted(blocks.items()) for v in kv]), F.col("leaf")) if blocks else F.lit(1)
-
-    def leaves_for(q: np.ndarray, floor: float) -> list[int]:
-        """Leaves down to the floor, and on until they hold k candidates."""
-        leaves, n = [], 0
-        for leaf, reached in tree.walk(q):
-            if reached < floor and n > k:
-                break
-            leaves.append(leaf)
-            n += held.get(leaf, 0)
-        return leaves
 
     def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            ids, x = pdf["id"].to_numpy(), _matrix(pdf["vec"], width)
-            bounds = s.bounds(ids, x)
-            out = [(i, leaf, b) for i in range(len(x)) for leaf in leaves_for(x[i], bounds[i] - s.margin) for b in range(blocks.get(leaf, 0))]
-            at = [o[0] for o in out]
-            yield pd.DataFrame({"leaf": [o[1] for o in out], "block": [o[2] for o in out], "kind": 1, "id": ids[at], "vec": pdf["vec"].to_numpy()[at]})
-
-    shape = "leaf int, block int, kind int, id long, vec array<double>"
-    asked = queries.filter(F.size("vec") == width).mapInPandas(route, shape)
-    placed = indexed.select(
-        "leaf", F.pmod(F.xxhash64("id"), n_blocks).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "vec"
-    )
-
-    def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, ids, parts, x = None, np.empty(0, dtype=np.int64), [], None
-        for pdf in frames:
-            change = (pdf["leaf"].ne(pdf["leaf"].shift()) | pdf["block"].ne(pdf["block"].shift()) | pdf["kind"].ne(pdf["kind"].shift())).to_numpy()
-            edges = np.append(np.flatnonzero(change), len(pdf))
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                run = pdf.iloc[a:b]
-                here = (run["leaf"].iloc[0], run["block"].iloc[0])
-                if here != at:
-                    at, parts, x = here, [], None
-                if run["kind"].iloc[0] == 0:
-                    parts.append((run["id"].to_numpy(), _matrix(run["vec"], width)))
-                    continue
-                if x is None and parts:
-                    ids, x = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-                if x is not None:
-                    qids = run["id"].to_numpy()
-                    row, col, score = best_of_block(qids, _matrix(run["vec"], width), np.full(len(run), -np.inf), ids, x, k)
-                    yield pd.DataFrame({"query_id": qids[row], "vec_id": ids[col], "score": score})
-
-    together = placed.unionByName(asked).repartition("leaf", "block").sortWithinPartitions("leaf", "block", "kind")
-    found = together.mapInPandas(meet, FOUND).dropDuplicates(["query_id", "vec_id", "score"])
+            x, bounds = _matrix(pdf["vec"], width), pdf["bound"].to_numpy()
+            out = [(i, cell, b) for i in range(len(x)) for cell in s.cells(x[i], bounds[i] - s.margin) for b in range(s.blocks(cell))]
+            at = np.array([o[0] for o in out], dtype=np.int64)
+            key = {"leaf": [o[1] for o in out], "block": [o[2] for o in out], "kind": QUERY, "sub": 0}
+            yield pd.DataFrame({**key, "id": pdf["id"].to_numpy()[at], "vec": pdf["vec"].to_numpy()[at], "bound": bounds[at], "floor": bounds[at] - s.leaf_margin})
+
+    together = indexed.unionByName(asked.select("id", "vec", "bound").mapInPandas(route, PLACED))
+    together = together.repartition("leaf", "block").sortWithinPartitions("leaf", "block", "kind", "sub")
+    sampled = asked.select(F.col("id").alias("query_id"), F.explode(F.arrays_zip("near", "scores")).alias("s")).select("query_id", F.col("s.near").alias("vec_id"), F.col("s.scores").alias("score"))
+    found = together.mapInPandas(meet(s), FOUND).withColumn("visited", F.lit(1)).unionByName(sampled.withColumn("visited", F.lit(0)))
+    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), F.max("visited").alias("visited"))
+    # a handful of rows for each query: k of a block at most, of which few reach the bound
+    best = best.withColumn("n", F.sum("visited").over(Window.partitionBy("query_id"))).filter((F.col("visited") == 1) | (F.col("n") < k))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    ranked = best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -29,7 +29,7 @@ def test_neighbours_recall_and_ties(spark):
     rows = [(i, v.tolist(), "clash", "clash") for i, v in enumerate(x)]
     rows += [(2000, None, "", ""), (2020, [0.0] * 16, "", ""), (2040, [float("nan")] * 16, "", ""), (2060, [None] * 16, "", ""), (2080, [1.0], "", ""), (None, [1.0] * 16, "", "")]
     rows += rows[:3]
-    got = run_search(spark, rows, leaf_share=32, block=100, max_sample=700).toPandas()
+    got = run_search(spark, rows, cell_rows=100, leaf_rows=16, block=60, max_sample=700).toPandas()
     y = x.astype(np.float64)
     hits = total = 0
     for q in range(0, 1500, 20):
