@@ -1,6 +1,9 @@
 """Neighbours, decontamination and near-duplicates against brute force."""
 
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -90,6 +93,100 @@ def test_leaks_are_found(spark):
     assert decontamination.find_leaks(docs_of(spark, rows), bench(spark, [])).count() == 0
 
 
+def near_verbatim(item, passage):
+    """Whether the words stand in the passage with one replaced, left out or put in: every such text is tried."""
+    n = len(item)
+    for at in range(len(passage)):
+        for size in (n - 1, n, n + 1):
+            there = passage[at : at + size]
+            if len(there) != size:
+                continue
+            if size == n and sum(a != b for a, b in zip(item, there, strict=True)) <= 1:
+                return True
+            short, long = (there, item) if size < n else (item, there)
+            if size != n and any(long[:i] + long[i + 1 :] == short for i in range(len(long))):
+                return True
+    return False
+
+
+def leaks_brute(rows, items, threshold, two_columns):
+    """BM25 over word pairs, every passage against every item, and the overlaps, in plain Python."""
+    pairs = lambda w: list(zip(w, w[1:], strict=False)) if len(w) > 1 else [tuple(w)]
+    runs = lambda w, k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if k else set()
+    tidy = lambda t: re.findall("[a-z0-9]+", (t or "").lower())
+    known = []
+    for key, q, a in items:
+        w = tidy(q)
+        one = not two_columns or a is None
+        cut = len(w) - max(1, len(w) // 4) if len(w) > 1 else len(w)
+        question, answer = (w[:cut], w[cut:]) if one else (w, tidy(a))
+        if question + answer:
+            known.append((key, question, answer, one))
+    terms = [pairs(q + a) for _, q, a, _ in known]
+    df = Counter(t for x in terms for t in set(x))
+    average = max(1.0, sum(map(len, terms)) / max(1, len(terms)))
+    step = max([len(q + a) for _, q, a, _ in known], default=1)
+    out = []
+    for (key, question, answer, one), x in zip(known, terms, strict=True):
+        tf = Counter(x)
+        impact = {t: math.log1p((len(known) - df[t] + 0.5) / (df[t] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(x) / average)) for t, c in tf.items()}
+        whole = sum(impact.values())
+        for doc, text in rows:
+            words, best = tidy(text), None
+            for s in range(0, max(1, len(words) - step), step):
+                passage = words[s : s + 2 * step]
+                if not passage:
+                    continue
+                score = sum(impact.get(t, 0) for t in set(pairs(passage))) / whole
+                share = lambda w, k: 1.0 if k == 0 else len(runs(w, k) & runs(passage, k)) / len(runs(w, k))  # noqa: B023, E731
+                q, a = share(question, min(5, len(question))), share(answer, min(5, len(answer)))
+                held = min(q, a) >= 0.8
+                if one and not held:
+                    item = question + answer
+                    edited = q >= 1 - 5 / max(5, len(set(runs(question, min(5, len(question)))))) - 1e-12 and a >= 1 - 5 / max(5, len(runs(answer, min(5, len(answer))))) - 1e-12
+                    held = edited and share(item, min(5, len(item))) >= 0.8 or len(item) >= 5 and near_verbatim(item, passage)
+                if score >= threshold - 1e-9 and held and (best is None or score > best[0] + 1e-12):
+                    best = (score, q, a, s)
+            if best:
+                out.append((doc, key, *best))
+    return out
+
+
+@pytest.mark.parametrize("two_columns", [False, True])
+def test_leaks_against_brute_force_for_any_block_size(spark, two_columns):
+    rng = random.Random(8)
+    shared = words(rng, 12, 50)
+    items = []
+    for i in range(60):
+        w = (shared if i % 2 else []) + words(rng, rng.randrange(2, 30), 200)
+        items.append((i, " ".join(w), " ".join(words(rng, 1 + i % 9, 200)) if i % 7 else None))
+    items += [(100, "", "only an answer here"), (101, None, "and one more answer"), (102, "word", None), (103, " .,", "  "), (5, items[5][1], items[5][2])]
+    rows = []
+    for d in range(50):
+        key, q, a = items[d]
+        w = q.split() + (a or "").split() * two_columns
+        if d % 3 == 1:
+            w[rng.randrange(len(w))] = "edit"
+        if d % 3 == 2:
+            w = w[: -max(1, len(w) // 5)]
+        rows.append((d, " ".join(words(rng, rng.randrange(80), 200) + w + words(rng, rng.randrange(80), 200))))
+    rows += [(60, " ".join(shared)), (61, None), (62, ""), (63, "word"), (64, "Only an ANSWER, here!"), (65, " ".join(words(rng, 20000, 300) + items[7][1].split() + (items[7][2] or "").split() + words(rng, 9000, 300)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = spark.createDataFrame(items, "item_id long, text string, answer string")
+    columns = {"question_col": "text", "answer_col": "answer"} if two_columns else {}
+    want = sorted(leaks_brute(rows, items, 0.5, two_columns))
+    found = {}
+    for size in (1000, 3000, 8_000_000):
+        got = decontamination.find_leaks(docs, table.repartition(3), block_bytes=size, **columns).collect()
+        found[size] = sorted(tuple(r) for r in got)
+        kept = decontamination.drop_contaminated(docs, table, block_bytes=size, **columns)
+        assert sorted(r.doc_id for r in kept.collect()) == sorted({d for d, _ in rows} - {w[0] for w in want}) and kept.columns == docs.columns
+    assert found[1000] == found[3000] == found[8_000_000]
+    assert len(want) > 20 and [w[:2] for w in want] == [f[:2] for f in found[1000]]
+    for w, f in zip(want, found[1000], strict=True):
+        assert all(abs(x - y) < 1e-9 for x, y in zip(w[2:], f[2:], strict=True)), (w, f)
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_block_max_wand_finds_all_above_threshold(seed):
     rng = random.Random(seed)
