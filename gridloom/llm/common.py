@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.session import shared_folder
+
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -20,18 +23,24 @@ MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh folder's path under the cluster's shared checkpoint folder."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "/tmp/gridloom-checkpoints")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 BROADCAST_IDS = 1_000_000
 
 
-def by_ids(rows: DataFrame, ids: DataFrame, how: str, id_col: str = "doc_id") -> DataFrame:
-    """Rows whose id is (left_semi) or is not (left_anti) among ``ids`` (a checkpointed column of that name).
+def by_ids(rows: DataFrame, ids: DataFrame, how: str, on: str | list[str] = "doc_id") -> DataFrame:
+    """``rows`` joined to ``ids``, a checkpointed table of fixed-width keys (numbers, digests): left_semi, left_anti or inner.
+
+    The ids are counted first: up to BROADCAST_IDS (of some 100 bytes at most) are broadcast, so that wide rows stay where
+    they are; more go through a shuffle join. Both give the same rows."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
+
 
-    The ids are counted first: up to BROADCAST_IDS are broadcast, so that wide rows stay where they are; more go through a shuffle join."""
-    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, id_col, how)
+def text_key(text: str = "text") -> Column:
+    """128 bits that stand for a text; a null text counts as empty."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    return F.struct(F.xxhash64(t).alias("a"), F.xxhash64(F.lit(1), t).alias("b"))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -65,13 +74,13 @@ def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[0::2], at[1::2]
 
 
-def word_hashes(raw: np.ndarray, inside: np.ndarray, prefix: int = 0) -> tuple[np.ndarray, ...]:
-    """Start, end and 64-bit hash of each run of ``inside`` bytes of ``raw``; with ``prefix``, also the hash of its first bytes.
+def word_hashes(raw: np.ndarray, inside: np.ndarray, prefixes: Sequence[int] = ()) -> tuple[np.ndarray, ...]:
+    """Start, end and 64-bit hash of each run of ``inside`` bytes of ``raw``, and for each of ``prefixes`` the hash of so many first bytes.
 
     A hash is a polynomial of the bytes modulo 2^64 and the length, finalised."""
     if not len(raw) or not inside.any():
         none, at = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
-        return (at, at, none, none) if prefix else (at, at, none)
+        return (at, at, none, *[none for _ in prefixes])
     starts, ends = runs(inside)
     place = np.arange(len(raw), dtype=np.int64)
     place[starts[0] :] -= np.repeat(starts, np.diff(np.append(starts, len(raw))))
@@ -79,11 +88,11 @@ def word_hashes(raw: np.ndarray, inside: np.ndarray, prefix: int = 0) -> tuple[n
     term = (raw.astype(np.uint64) + np.uint64(1)) * powers(int(place.max()) + 1)[place]
     term[~inside] = 0
     size = (ends - starts).astype(np.uint64)
-    full = mix64(np.add.reduceat(term, starts) + size * MIX_B)
-    if not prefix:
-        return starts, ends, full
-    term[place >= prefix] = 0
-    return starts, ends, full, mix64(np.add.reduceat(term, starts) ^ MIX_B)
+    out = [mix64(np.add.reduceat(term, starts) + size * MIX_B)]
+    for n in sorted(prefixes, reverse=True):
+        term[place >= n] = 0
+        out.append(mix64(np.add.reduceat(term, starts) ^ np.uint64(int(MIX_B) * n % 2**64)))
+    return (starts, ends, *out)
 
 
 def blank_separated(text: str) -> tuple[np.ndarray, ...]:
@@ -92,10 +101,10 @@ def blank_separated(text: str) -> tuple[np.ndarray, ...]:
     return word_hashes(LOWER[raw], ~SPACES[raw])
 
 
-def plain_words(text: str, prefix: int = 0) -> tuple[np.ndarray, ...]:
-    """Words of letters and digits of the lower-cased text (every other ASCII sign separates): starts, ends, hashes and prefix hashes."""
+def plain_words(text: str, prefixes: Sequence[int] = ()) -> tuple[np.ndarray, ...]:
+    """Words of letters and digits of the lower-cased text (every other ASCII sign separates): starts, ends, hashes and hashes of prefixes, longest first."""
     raw = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), dtype=np.uint8)
-    return word_hashes(raw, WORD_BYTES[raw], prefix)
+    return word_hashes(raw, WORD_BYTES[raw], prefixes)
 
 
 def shingle_hashes(words: np.ndarray, k: int = 5) -> np.ndarray:

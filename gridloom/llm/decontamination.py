@@ -40,10 +40,10 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import MIX_A, by_ids, mix64, plain_words, shingle_hashes
+from gridloom.llm.common import MIX_A, by_ids, mix64, plain_words, shingle_hashes, text_key
 from gridloom.session import durable
 
 K1, B = 1.2, 0.75
@@ -361,11 +361,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
         return docs.filter(F.size(_leaks_of(docs, first)(F.col("text"))) == 0)
     leaked = None
     for block in chain((first, second), blocks):
-        part = docs.filter(F.size(_leaks_of(docs, block)(F.col("text"))) > 0).select(_text_key().alias("__leaked"))
+        part = docs.filter(F.size(_leaks_of(docs, block)(F.col("text"))) > 0).select(text_key().alias("__leaked"))
         leaked = part if leaked is None else leaked.unionByName(part)
-    return by_ids(docs.withColumn("__leaked", _text_key()), durable(leaked.distinct()), "left_anti", "__leaked").select(*docs.columns)
+    return by_ids(docs.withColumn("__leaked", text_key()), durable(leaked.distinct()), "left_anti", "__leaked").select(*docs.columns)
 
-
-def _text_key() -> Column:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))  # 128 bits

@@ -1,18 +1,21 @@
 """Toxicity by compression distance.
 
-Words are coded as 16 bytes, a fingerprint of the word and one of its first bytes, so a word that a
-dictionary knows costs about three bytes and an unknown one its full width, however short it is. Two
-zstandard dictionaries are trained on coded text, one on ordinary documents and one on what sets toxic
-documents apart; the toxic side's dictionary is followed by the ordinary one, so both know ordinary
-language equally well. A document's windows are compressed with both; the differences of the lengths
-(largest, mean, share and number of large ones) go through a logistic calibration to a score in [0, 1].
+Words are coded as 24 bytes, fingerprints of the word and of its first seven and first five bytes, so a word that a
+dictionary knows costs about three bytes and an unknown one its full width, however short it is, and a word
+that shares its stem with a known one a part of it. Two zstandard dictionaries are trained on coded text, one on
+ordinary documents and one on what sets toxic documents apart: the words whose codes a test of document counts finds commoner
+there (a dictionary of all their text spends its bytes on ordinary language, and its lengths tell less). The toxic
+side's dictionary is followed by the ordinary one, so both know ordinary language equally well. A document's windows
+are compressed with both; the differences of the lengths (largest, mean, share and number of large ones) go
+through a logistic calibration to a score in [0, 1].
 
 Training reads a bounded sample of labelled rows (``max_docs`` of each class in the order of a
-hash of doc_id, those of at most ``max_chars`` characters); scoring covers every document, window by window.
+hash of doc_id, one text each, those of at most ``max_chars`` characters); scoring covers every document, window by window.
 
 Edge cases: null and empty texts get the score of a document without words; without labelled rows of both
 classes every score is 0; null labels are left out and repeated ones count once (toxic wins); repeated
-documents score alike; columns other than doc_id and text are ignored.
+documents score alike; of the texts of a repeated doc_id the training takes the least; columns other than doc_id and
+text are ignored.
 """
 
 from __future__ import annotations
@@ -29,16 +32,16 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import plain_words
 
-PREFIX = 7
+PREFIXES = (7, 5)  # bytes
+WIDTH = 8 * (1 + len(PREFIXES))  # bytes of a word's code
 LEVEL = 6
 WINDOW = 32  # words
 LARGE = 6  # bytes saved in one window
 
 
 def coded(text: str) -> np.ndarray:
-    """One row of two 64-bit codes for each word."""
-    _, _, full, prefix = plain_words(text, PREFIX)
-    return np.stack([full, prefix], axis=1)
+    """One row of 64-bit codes for each word."""
+    return np.stack(plain_words(text, PREFIXES)[2:], axis=1)
 
 
 def _trained(samples: list[bytes], size: int) -> bytes:
@@ -62,7 +65,7 @@ class Model:
         for content in (self.ordinary, self.toxic + self.ordinary):
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             params = zstandard.ZstdCompressionParameters.from_level(
-                LEVEL, source_size=16 * WINDOW, dict_size=len(content), write_content_size=0, write_checksum=0, write_dict_id=0
+                LEVEL, source_size=WIDTH * WINDOW, dict_size=len(content), write_content_size=0, write_checksum=0, write_dict_id=0
             )
             d.precompute_compress(compression_params=params)
             out.append(zstandard.ZstdCompressor(dict_data=d, compression_params=params))
@@ -80,7 +83,7 @@ class Model:
 
 def features(codes: np.ndarray, one, two) -> np.ndarray:
     data = codes.tobytes()
-    step = 16 * WINDOW
+    step = WIDTH * WINDOW
     saved = [len(one.compress(data[i : i + step])) - len(two.compress(data[i : i + step])) for i in range(0, len(data), step)] or [0]
     g = np.sort(np.array(saved, dtype=np.float64))
     large = int((g >= LARGE).sum())
@@ -153,8 +156,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int = 1000, max_
     for label in (1, 0):
         some = known.filter(F.col("toxic") == label).orderBy(*order).limit(max_docs)
         chosen = some if chosen is None else chosen.unionByName(some)
-    # at most two times max_docs ids: broadcast, so that no text is shuffled
-    return docs.select("doc_id", "text").filter(F.char_length("text") <= max_chars).join(F.broadcast(chosen), "doc_id")
+    # at most two times max_docs ids: broadcast, so that no other text is shuffled; copies are merged before the shuffle
+    found = docs.select("doc_id", "text").filter(F.char_length("text") <= max_chars).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
 
 def train(docs: DataFrame, labels: DataFrame, **sample) -> Model | None:
