@@ -21,7 +21,7 @@ overlaps the first one, the lines of the first stay.
 
 Edge cases: a null text stays null with 0 lines; an empty text is one empty line and is kept; rows with equal
 doc_id and text count as one document and come out alike; null doc_ids sort first; empty tables give an
-empty result; columns other than doc_id and text are ignored (drop_repeated_chunks keeps them).
+empty result; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -92,17 +92,23 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     rows = _keyed(docs)
     gone = repeated_chunks(rows, divisor)
     none = F.expr("cast(array() as array<struct<chunk: int, start: int, n: int>>)")
-    out = rows.join(gone, "rk", "left").select("doc_id", "text", F.coalesce("gone", none).alias("gone"))
-    out = out.withColumn("lines", F.split("text", "\n", -1))
-    dropped = F.flatten(F.transform("gone", lambda c: F.sequence(c["start"], c["start"] + c["n"] - 1)))
-    out = out.withColumn("dropped", dropped)
-    kept = F.filter("lines", lambda line, i: ~F.array_contains("dropped", i))
+    out = rows.join(gone, "rk", "left").select("doc_id", "text", F.array_sort(F.coalesce("gone", none)).alias("gone"))
+    out = out.withColumn("lines", F.split("text", "\n", -1)).withColumn("removed", F.aggregate("gone", F.lit(0), lambda n, c: n + c["n"]))
+
+    def before(i: Column) -> Column:
+        """The lines between the chunk removed before number i and that one (or the text's end)."""
+        last = F.get("gone", i - 1)
+        begin = F.when(i == 0, 0).otherwise(last["start"] + last["n"])
+        end = F.coalesce(F.get("gone", i)["start"], F.size("lines"))
+        return F.slice("lines", begin + 1, end - begin)
+
+    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("gone")), before))
     return out.select(
         "doc_id",
         F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
         F.size("gone").cast("long").alias("removed_chunks"),
-        F.size("dropped").cast("long").alias("removed_lines"),
-        F.when(F.size("dropped") == 0, F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
+        F.col("removed").cast("long").alias("removed_lines"),
+        F.when(F.col("removed") == 0, F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
     )
 
 
