@@ -14,16 +14,18 @@ DataFrame code throughout. A source may hold any share of the rows: running sums
 
 Edge cases: null sources form one source, ordered last; null or blank texts have size 0 and are never
 taken; repeated rows count as separate documents; an empty table gives an empty result; columns of the
-input that clash with added ones are replaced.
+input that clash with added ones are replaced, all others are kept, whatever they are called.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.session import durable
+
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKET_DIGITS = 3  # hex digits: 4096 buckets in each source
 ADDED = ["size", "source_size", "target", "taken", "position", "positions"]
@@ -66,18 +68,28 @@ def plan_mix(
     not taken) and positions (of all). Sources of odd rank fade from (1 + tilt) to (1 - tilt) of their
     weight, those of even rank the other way round."""
     kept = [c for c in docs.columns if c not in ADDED]
-    base = (
-        docs.select(*kept)
-        .withColumn("size", F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"))
-        .withColumn("__key", F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")))
-        .withColumn("__order", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))))
-        .withColumn("__bucket", F.substring("__order", 1, BUCKET_DIGITS))
-    )
-    return _placed(base, kept, weights, budget, cap, tilt, source_col)
-
-
-def _placed(base: DataFrame, kept: list[str], weights: Sequence[float], budget: float, cap: float, tilt: float, source_col: str) -> DataFrame:
-    buckets = base.groupBy("__key", "__bucket").agg(F.sum("size").alias("__sum"), F.first(source_col).alias("source"))
+    row = F.struct(*[F.col(c) for c in kept]).alias("__row")  # whatever its columns are called, a row stays as it is
+    base = docs.select(row, *_measures(id_col, text_col, source_col, seed))
+    return _placed(base, weights, budget, cap, tilt).select("__row.*", *ADDED)
+
+
+def _measures(id_col: str, text_col: str, source_col: str, seed: int) -> list[Column]:
+    """size, __source, __key (of the source), __order and __bucket of a row."""
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    source = F.col(source_col).cast("string")
+    return [
+        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        source.alias("__source"),
+        F.coalesce(F.concat(F.lit("s"), source), F.lit("n")).alias("__key"),
+        order.alias("__order"),
+        F.substring(order, 1, BUCKET_DIGITS).alias("__bucket"),
+    ]
+
+
+def _placed(base: DataFrame, weights: Sequence[float], budget: float, cap: float, tilt: float) -> DataFrame:
+    """The rows of ``base`` (columns of _measures and others of private names) with ADDED."""
+    # a row for each source and bucket; kept, so that texts are read once for it and once for the plan
+    buckets = durable(base.groupBy("__key", "__bucket").agg(F.sum("size").alias("__sum"), F.first("__source").alias("source")))
     sizes = buckets.groupBy(F.col("__key").alias("skey")).agg(F.sum("__sum").alias("source_size"), F.first("source").alias("source"))
     targets = source_targets(sizes, weights, budget, cap)
     ahead = Window.partitionBy("__key").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -104,25 +116,28 @@ def _placed(base: DataFrame, kept: list[str], weights: Sequence[float], budget:
 
     laps = F.when(times > 0, F.sequence(F.lit(0).cast("long"), times - 1)).otherwise(F.array().cast("array<bigint>"))
     placed = placed.withColumn("positions", F.transform(laps, position))
-    placed = placed.withColumn("position", F.when(F.size("positions") > 0, F.col("positions")[0]))
-    return placed.select(*kept, *ADDED)
+    return placed.withColumn("position", F.when(F.size("positions") > 0, F.col("positions")[0]))
+
 
+def mix_plan_rows(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: float = 1.5, cap: float = 2.0, tilt: float = 0.5, seed: int = 4) -> DataFrame:
+    """One narrow row per document, range-sorted by training position: doc_id, size, source_size, target, taken, position.
 
-def mix_plan_rows(docs: DataFrame, **options) -> DataFrame:
-    """One narrow row per document, range-sorted by training position: doc_id, size, source_size, target, taken, position."""
-    plan = plan_mix(docs.select("doc_id", "text", "source"), **options)
+    Texts are read once, to count their words."""
+    base = durable(docs.select("doc_id", *_measures("doc_id", "text", "source", seed)))
+    plan = _placed(base, weights, budget, cap, tilt)
     # documents that are not taken follow in a hash order, so that they do not share one place
     order = F.coalesce("position", F.lit(1.0) + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20))
-    out = plan.select("doc_id", "size", "source_size", "target", "taken", "position", order.alias("__order"))
-    return out.repartitionByRange("__order").sortWithinPartitions("__order", "doc_id").drop("__order")
+    out = plan.select("doc_id", "size", "source_size", "target", "taken", "position", order.alias("__place"))
+    return out.repartitionByRange("__place").sortWithinPartitions("__place", "doc_id").drop("__place")
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The training stream: each document once per occurrence in the mix, whole, in order of training position.
 
     A document that the target cuts through is kept whole. Columns are those of ``docs``."""
-    names = [options.get(f"{k}_col", d) for k, d in (("id", "doc_id"), ("text", "text"), ("source", "source"))]
-    row = F.struct(*[F.col(c) for c in docs.columns]).alias("__row")  # whatever its columns are called, a row stays as it is
-    plan = plan_mix(docs.select(row, *names), **options)
-    placed = plan.select("__row", F.explode("positions").alias("__position")).repartitionByRange("__position").sortWithinPartitions("__position")
-    return placed.select("__row.*")
+    names = [options.pop(f"{k}_col", d) for k, d in (("id", "doc_id"), ("text", "text"), ("source", "source"))]
+    settings = {"weights": (5, 2, 1), "budget": 1.5, "cap": 2.0, "tilt": 0.5, "seed": 4} | options
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("__row")
+    base = docs.select(row, *_measures(*names, settings.pop("seed")))
+    plan = _placed(base, **settings).select("__row", F.explode("positions").alias("__position"))
+    return plan.repartitionByRange("__position").sortWithinPartitions("__position").select("__row.*")
