@@ -23,9 +23,11 @@ No group is gathered: stars are joins, copies of any number are one class, and t
 whatever is connected already. Texts are not shuffled while the classes that share a bucket are up to a million
 (their ids are counted, then broadcast), and once beyond that; from then on only sets of those classes move.
 
+Small and large buckets (LARGE_BUCKET) are searched in different ways, both exact: the same classes end up connected.
+
 Edge cases: null, empty and blank texts have n_shingles 0 and are their own component; a null doc_id gets no
-component; repeated rows of a doc_id are one document (each row is returned); an empty table gives an empty
-result; very long texts are hashed in pieces; columns other than doc_id and text are ignored by
+component; repeated rows are one document (each row is returned); different texts of one doc_id are classes of their own,
+each in its own component; thresholds are percentages from 40; an empty table gives an empty result; very long texts are hashed in pieces; columns other than doc_id and text are ignored by
 near_duplicates and kept by drop_near_duplicates.
 """
 
@@ -33,31 +35,37 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import blank_separated, by_ids, shingle_hashes
+from gridloom.llm.common import blank_separated, by_ids, shingle_hashes, text_key
 from gridloom.llm.components import components
 from gridloom.session import durable
 
 ROWS = 4
-MOST_BANDS = 128
 WORDS = 5
+LEAST_THRESHOLD = 40
 LARGE_BUCKET = 64
 COMMON = 32
 PIECE = 1024
 
-_rng = np.random.default_rng(20240501)
-MULTIPLIERS = (_rng.integers(0, 2**31, ROWS * MOST_BANDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
-OFFSETS = _rng.integers(0, 2**32, ROWS * MOST_BANDS, dtype=np.uint32)[:, None]
+
+@lru_cache
+def coefficients(hashes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Multipliers (odd) and offsets of the universal hashes, as columns."""
+    rng = np.random.default_rng(20240501)
+    return (rng.integers(0, 2**31, (hashes, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)), rng.integers(0, 2**32, (hashes, 1), dtype=np.uint32)
 
 
 def bands_for(threshold: int) -> int:
     """As few bands as miss a pair at the threshold (in percent) with a probability of at most 1e-7."""
-    return min(MOST_BANDS, math.ceil(math.log(1e-7) / math.log(1 - (threshold / 100) ** ROWS)))
+    if not LEAST_THRESHOLD <= threshold < 100:
+        raise ValueError(f"a threshold is a percentage from {LEAST_THRESHOLD} to 99")
+    return math.ceil(math.log(1e-7) / math.log(1 - (threshold / 100) ** ROWS))
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -68,39 +76,42 @@ def shingle_set(text: str | None) -> np.ndarray:
 def signature(shingles: np.ndarray, hashes: int) -> np.ndarray:
     """The least value of each of the first hashes a x + b mod 2^32 over the set."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
+    multipliers, offsets = coefficients(hashes)
     least = np.full(hashes, np.iinfo(np.uint32).max, dtype=np.uint32)
     for at in range(0, len(x), PIECE):
-        np.minimum(least, (MULTIPLIERS[:hashes] * x[None, at : at + PIECE] + OFFSETS[:hashes]).min(axis=1), out=least)
+        np.minimum(least, (multipliers * x[None, at : at + PIECE] + offsets).min(axis=1), out=least)
     return least
 
 
+def set_digest(shingles: np.ndarray) -> tuple[int, int, int]:
+    """Size and two sums that stand for a set."""
+    return len(shingles), int(shingles.sum(dtype=np.uint64).astype(np.int64)), int((shingles * (shingles | np.uint64(1))).sum(dtype=np.uint64).astype(np.int64))
+
+
 def signatures(docs: DataFrame, bands: int) -> DataFrame:
-    """doc_id, n, set digest (d1, d2) and signature of every row."""
+    """doc_id, digest of the text (key), size and digest of the set (n, d1, d2) and signature of every row."""
     hashes = ROWS * bands
 
     @F.pandas_udf("n bigint, d1 bigint, d2 bigint, sig array<int>")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for t in texts:
-            n, d1, d2, sig = [], [], [], []
-            for text in t:
-                s = shingle_set(text)
-                n.append(len(s))
-                d1.append(int(s.sum().astype(np.int64)) if len(s) else 0)
-                d2.append(int((s * (s | np.uint64(1))).sum().astype(np.int64)) if len(s) else 0)
-                sig.append(signature(s, hashes).view(np.int32) if len(s) else None)
-            yield pd.DataFrame({"n": n, "d1": d1, "d2": d2, "sig": sig})
+            sets = [shingle_set(text) for text in t]
+            out = pd.DataFrame([set_digest(s) for s in sets], columns=["n", "d1", "d2"])
+            yield out.assign(sig=[signature(s, hashes).view(np.int32) if len(s) else None for s in sets])
 
-    return docs.select("doc_id", run("text").alias("s")).select("doc_id", "s.*")
+    return docs.select("doc_id", text_key().alias("key"), run("text").alias("s")).select("doc_id", "key", "s.*")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """id and set of every row with words."""
+    """doc_id, size and digest of the set and the set of every row."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            yield pd.DataFrame({"id": pdf["doc_id"], "set": [shingle_set(t).view(np.int64) for t in pdf["text"]]})
+            sets = [shingle_set(t) for t in pdf["text"]]
+            out = pd.DataFrame([set_digest(s) for s in sets], columns=["n", "d1", "d2"])
+            yield out.assign(least=pdf["doc_id"].to_numpy(), set=[s.view(np.int64) for s in sets])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "id long, set array<long>")
+    return docs.select("doc_id", "text").mapInPandas(run, "least long, n long, d1 long, d2 long, set array<long>")
 
 
 def _agree(a: str, b: str) -> Column:
@@ -153,13 +164,13 @@ def _beyond_pivot(members: DataFrame, sets: DataFrame, threshold: int) -> DataFr
     d = members.join(sets, "id").join(heads, "head").select("head", "id", "component", F.size("set").cast("long").alias("n"), rest.alias("rest"))
     d = durable(d.repartition("head", "id"))
     # one order for all of a head's members: first what few of them have, then what COMMON or more have, rarest first
-    counts = d.select("head", F.explode("rest").alias("shingle")).groupBy("head", "shingle").agg(F.count("*").alias("df")).filter(F.col("df") >= COMMON)
-    counts = counts.groupBy("head").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "shingle"))), lambda s: s["shingle"]).alias("common"))
-    d = d.join(counts, "head", "left").withColumn("common", F.coalesce("common", F.expr("cast(array() as array<bigint>)")))
-    order = F.concat(F.array_except("rest", "common"), F.array_intersect("common", "rest"))
+    each = d.select("head", "id", "component", "n", F.size("rest").cast("long").alias("size"), F.explode("rest").alias("shingle"))
+    counts = each.groupBy("head", "shingle").agg(F.count("*").alias("df")).filter(F.col("df") >= COMMON)
+    ranked = each.join(counts, ["head", "shingle"], "left").select("head", "id", "component", "n", "size", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "shingle").alias("s"))
     # no partner is larger than n * 100 / t, so no more than this many shingles may differ
     most = F.floor(F.col("n") * (100 - t) * (100 + t) / ((100 + t) * t)).cast("int")
-    d = d.select("head", "id", "component", "n", F.size("rest").cast("long").alias("size"), F.slice(order, 1, most + 1).alias("front")).repartition("head", "id")
+    d = ranked.groupBy("head", "id", "component", "n", "size").agg(F.array_sort(F.collect_list("s")).alias("order"))
+    d = d.select("head", "id", "component", "n", "size", F.transform(F.slice("order", 1, most + 1), lambda x: x["shingle"]).alias("front"))
     front = durable(d.select("head", "id", "component", "n", "size", F.posexplode("front").alias("at", "shingle")))
     other = front.select("head", "shingle", *[F.col(c).alias(f"{c}2") for c in ("id", "component", "n", "size", "at")])
     differ = F.floor((F.col("n") + F.col("n2")) * (100 - t) / (100 + t))
@@ -171,12 +182,14 @@ def _beyond_pivot(members: DataFrame, sets: DataFrame, threshold: int) -> DataFr
 
 
 def links(reps: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
-    """Confirmed links between classes (id, sig): enough of them to connect all classes that any link connects."""
+    """Confirmed links between classes (id, least, n, d1, d2, sig): enough of them to connect all classes that any link connects."""
     rows = _buckets(reps, bands_for(threshold))
     heads = rows.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("id").alias("head")).filter("m > 1")
     shared = durable(rows.join(heads, ["band", "key"]))
-    needed = durable(shared.select(F.col("id").alias("doc_id")).distinct())
-    sets = durable(shingle_sets(by_ids(docs, needed, "left_semi")).dropDuplicates(["id"]))
+    needed = durable(reps.drop("sig").join(shared.select("id").distinct(), "id"))
+    texts = by_ids(docs, needed.select(F.col("least").alias("doc_id")).distinct(), "left_semi")
+    # of rows with one doc_id and several texts those of the class
+    sets = durable(by_ids(shingle_sets(texts), needed, "inner", ["least", "n", "d1", "d2"]).select("id", "set").dropDuplicates(["id"]))
     stars = shared.filter("id != head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     found = durable(_confirmed(_similar(stars, reps, threshold), sets, threshold))
     first = components(found).withColumnRenamed("node", "id")
@@ -192,25 +205,54 @@ def links(reps: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     return found.unionByName(_confirmed(more, sets, threshold))
 
 
-def near_duplicates(docs: DataFrame, threshold: int = 80) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept."""
+def classes_of(signed: DataFrame) -> DataFrame:
+    """Classes of equal sets: n, d1, d2, least (the smallest doc_id) and id, which is least or, where that has several sets, a number below all doc_ids for all but one of them."""
+    classes = durable(signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("least")))
+    first = classes.groupBy("least").agg(F.min(F.struct("n", "d1", "d2")).alias("first"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    others = durable(classes.join(first, "least").filter(F.struct("n", "d1", "d2") != F.col("first")).drop("first"))
+    if not others.count():
+        return classes.withColumn("id", F.col("least"))
+    below = classes.agg(F.min("least")).first()[0]
+    named = others.select("n", "d1", "d2", (F.lit(below - 1) - F.monotonically_increasing_id()).alias("other"))
+    return durable(classes.join(named, ["n", "d1", "d2"], "left").withColumn("id", F.coalesce("other", "least")).drop("other"))
+
+
+def labelled(docs: DataFrame, threshold: int) -> DataFrame:
+    """doc_id, key, n_shingles, component_id of every row."""
     signed = durable(signatures(docs, bands_for(threshold)))
-    classes = signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    member = signed.drop("sig").join(classes, ["n", "d1", "d2"], "left")
-    member = durable(member.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")))
-    ids = classes.select(F.col("rep").alias("id"))
-    reps = durable(signed.withColumnRenamed("doc_id", "id").filter("n > 0").join(ids, "id", "left_semi").select("id", "sig").dropDuplicates(["id"]))
+    classes = classes_of(signed)
+    rows = signed.filter("n > 0").join(classes.withColumnRenamed("least", "doc_id"), ["doc_id", "n", "d1", "d2"])  # by the class's own doc_id, so a class of many copies is no hot key
+    reps = durable(rows.select("id", F.col("doc_id").alias("least"), "n", "d1", "d2", "sig").dropDuplicates(["id"]))
     found = components(links(reps, docs, threshold))
-    out = member.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.coalesce("component", "rep")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    # a component is called by the smallest doc_id of its classes
+    of = classes.join(found.withColumnRenamed("node", "id"), "id").select("id", "component", "least")
+    names = of.groupBy("component").agg(F.min("least").alias("name"))
+    named = of.join(names, "component").select("id", "name")
+    final = durable(classes.join(named, "id", "left").select("n", "d1", "d2", F.coalesce("name", "least").alias("component_id")))
+    out = signed.select("doc_id", "key", "n", "d1", "d2").join(final, ["n", "d1", "d2"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "key", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, threshold: int = 80) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept."""
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+    return labelled(docs, threshold).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: int = 80) -> DataFrame:
     """The documents of which one stays of each group, the one of the smallest doc_id, with their columns as they are.
 
-    Rows without a doc_id stay; of rows with the same doc_id one stays."""
-    found = durable(near_duplicates(docs, threshold).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).filter("not kept or n > 1"))
-    repeated = found.filter("kept").select("doc_id")
-    once = by_ids(docs, found.select("doc_id"), "left_anti")
-    return once.unionByName(by_ids(docs, repeated, "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+    Of several texts of that doc_id in the group the one with the smallest digest stays; texts of a doc_id that lie in different
+    groups are decided each by itself. Of rows with the same doc_id and text one stays. Rows without a doc_id stay."""
+    each = durable(labelled(docs, threshold).filter("doc_id IS NOT NULL").groupBy("doc_id", "key", "component_id", "n_shingles").agg(F.count("*").alias("m")))
+    # a doc_id's texts in its own group; texts without words are in no group
+    own = each.filter("n_shingles > 0 AND doc_id = component_id").groupBy("doc_id").agg(F.min("key").alias("first"), F.count("*").alias("texts")).filter("texts > 1")
+    lost = each.filter("n_shingles > 0 AND doc_id != component_id").select("doc_id", "key")
+    lost = lost.unionByName(each.filter("n_shingles > 0 AND doc_id = component_id").join(own, "doc_id").filter("key != first").select("doc_id", "key"))
+    gone = durable(lost.withColumn("m", F.lit(0).cast("long")).unionByName(each.filter("m > 1").select("doc_id", "key", "m")).groupBy("doc_id", "key").agg(F.min("m").alias("m")))
+    gone = gone.select(F.struct("doc_id", "key").alias("__row"), "m")
+    marked = docs.withColumn("__row", F.struct(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key")))
+    once = by_ids(marked, gone.select("__row"), "left_anti", "__row")
+    repeated = by_ids(marked, gone.filter("m > 0").select("__row"), "left_semi", "__row").dropDuplicates(["__row"])
+    return once.unionByName(repeated).select(*docs.columns)
