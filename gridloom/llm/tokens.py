@@ -2,8 +2,8 @@
 
 The key of a count is (SHA-256 of the normalised text, SHA-256 of the tokenizer's file and name of its
 library). Normalisation only turns a null text into the empty one: a byte-level tokenizer's counts depend on
-every byte. Digests are joined to the stored counts; each distinct missing text is encoded once and the new
-counts are appended to the cache, a parquet table in the shared folder; the documents' digests are then
+every byte. Digests, which are narrow, are joined to the stored counts first; each distinct missing text is encoded once,
+stored ones do not move, and the new counts are appended to the cache, a parquet table in the shared folder; the documents' digests are then
 joined to the whole cache. Byte-level tokenizers encode the pieces of a fixed pattern one by one, so the encoder
 remembers the counts of pieces, each of which the library has encoded, for texts whose split is beyond doubt.
 
@@ -29,6 +29,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import BROADCAST_IDS
+from gridloom.session import durable
+
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 BATCH_BYTES = 4_000_000
 
@@ -134,6 +137,17 @@ def encode_misses(texts: DataFrame, tokenizer: str) -> DataFrame:
     return texts.mapInPandas(run, "digest binary, n_tokens long")
 
 
+def missing_texts(rows: DataFrame, misses: DataFrame) -> DataFrame:
+    """(digest, text) of each digest of ``misses``; texts whose counts are stored do not move.
+
+    Up to BROADCAST_IDS digests are broadcast, so that other texts are left out before the copies of a text are merged; more meet
+    the merged texts, which then lie where the digests do. Both give the same."""
+    texts = rows.select(F.col("__digest").alias("digest"), "__text")
+    if misses.count() <= BROADCAST_IDS:
+        return texts.join(F.broadcast(misses), "digest", "left_semi").groupBy("digest").agg(F.first("__text").alias("text"))
+    return texts.groupBy("digest").agg(F.first("__text").alias("text")).join(misses, "digest", "left_semi")
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row; appends what it had to encode to ``cache``.
 
@@ -141,11 +155,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 1024)
     spark = docs.sparkSession
     version = tokenizer_version(tokenizer)
     rows = digested(docs)
-    stored = read_cache(spark, cache).filter(F.col("tokenizer") == version)
-    known = stored.select("digest").distinct()
-    distinct = rows.groupBy(F.col("__digest").alias("digest")).agg(F.first("__text").alias("text"))
-    misses = distinct.join(known, "digest", "left_anti")
-    encode_misses(misses, tokenizer).select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
+    known = read_cache(spark, cache).filter(F.col("tokenizer") == version).select("digest")
+    misses = durable(rows.select(F.col("__digest").alias("digest")).distinct().join(known, "digest", "left_anti"))
+    encode_misses(missing_texts(rows, misses), tokenizer).select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     counts = read_cache(spark, cache).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
     narrow = rows.select("doc_id", F.col("__digest").alias("digest"), F.octet_length("__text").cast("long").alias("n_bytes"))
     return narrow.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
