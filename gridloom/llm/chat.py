@@ -9,13 +9,15 @@ appends. Messages are then ordered by their first ``seq`` and rendered as
 the rendering can be read back exactly. ``mask`` holds start and length (in code points of ``formatted``)
 of each assistant text.
 
-DataFrame code throughout. Folding groups by message, rendering is done before the conversation is
-gathered, so of a long conversation only finished strings meet; the one string per conversation that the
-operator is asked for bounds a conversation's length to what one string holds (2 GB).
-
-Edge cases: null texts and roles count as empty; unknown kinds are treated as deltas; ties in ``seq`` are
-ordered by (role, text); repeated ``message`` rows are separate turns; conversations without rows do not
-appear; columns beyond those named are ignored.
+DataFrame code throughout. Folding partitions the log by conversation and message, which deals a hot conversation to many
+tasks, and rendering is done before the conversation is gathered and sorted, so of a long conversation only finished
+strings meet; the one string per conversation that the operator is asked for bounds a conversation's length to what
+one string holds (2 GB).
+
+Edge cases: null texts and roles count as empty; unknown kinds are treated as deltas; at equal ``seq`` deltas come before
+edits and those before regenerations, so that a reset takes what stands beside it, and equal kinds are ordered by
+(role, text); repeated ``message`` rows are separate turns; conversations without rows do not appear; columns beyond
+those named are ignored.
 """
 
 from __future__ import annotations
@@ -54,7 +56,8 @@ def fold_events(events: DataFrame) -> DataFrame:
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    log = tidy.groupBy("conv_id", "message_id").agg(F.array_sort(F.collect_list(F.struct("seq", "role", "text", "kind"))).alias("log"))
+    order = F.when(F.col("kind") == "regenerate", 2).when(F.col("kind") == "edit", 1).otherwise(0).alias("order")
+    log = tidy.groupBy("conv_id", "message_id").agg(F.array_sort(F.collect_list(F.struct("seq", order, "role", "text", "kind"))).alias("log"))
     whole = F.filter("log", lambda e: e["kind"] == "message")
     stream = F.filter("log", lambda e: e["kind"] != "message")
     log = log.select("conv_id", whole.alias("whole"), stream.alias("stream"))
@@ -138,7 +141,31 @@ def chat_digests(formatted: DataFrame) -> DataFrame:
 
 
 def turns_as_events(conversations: DataFrame) -> DataFrame:
-    """A table of finished turns (conv_id, turn, role, text) as a log of events."""
+    """A table of finished turns (conv_id, turn, role, text) as a log of finished messages."""
     return conversations.select(
         "conv_id", F.col("turn").alias("seq"), F.col("turn").alias("message_id"), F.lit("message").alias("kind"), "role", "text"
     )
+
+
+def turns_as_streams(conversations: DataFrame) -> DataFrame:
+    """A table of finished turns (conv_id, turn, role, text) as the log of the streams that led to them.
+
+    An assistant's turn begins with a false start, is regenerated and arrives in two deltas; any other turn is a draft that is
+    edited. Each row is a message of its own, whatever rows it shares its turn with."""
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.char_length(text) / 2).cast("int")
+    first, second = F.substr(text, F.lit(1), half), F.substr(text, half + 1)
+    event = lambda at, kind, part: F.struct(F.lit(at).alias("at"), F.lit(kind).alias("kind"), part.alias("part"))
+    answer = F.array(event(0, "delta", second), event(1, "regenerate", F.lit("")), event(2, "delta", first), event(3, "delta", second))
+    draft = F.array(event(0, "delta", second), event(1, "edit", text))
+    begin = F.coalesce(F.col("turn").cast("long"), F.lit(-(2**58))) * 4
+    # numbered before the rows are multiplied, so that a row's events share its number
+    rows = conversations.select("conv_id", "role", "text", begin.alias("begin"), F.monotonically_increasing_id().alias("message_id"))
+    rows = rows.select(
+        "conv_id",
+        "begin",
+        "message_id",
+        "role",
+        F.explode(F.when(F.col("role") == ASSISTANT, answer).otherwise(draft)).alias("e"),
+    )
+    return rows.select("conv_id", (F.col("begin") + F.col("e.at")).alias("seq"), "message_id", F.col("e.kind").alias("kind"), "role", F.col("e.part").alias("text"))

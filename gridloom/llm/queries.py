@@ -56,7 +56,7 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit(said).alias("text"),
     )
-    return chat.chat_digests(chat.format_chats(chat.turns_as_events(table.unionByName(extra))))
+    return chat.chat_digests(chat.format_chats(chat.turns_as_streams(table.unionByName(extra))))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
