@@ -172,6 +172,20 @@ def test_mixing_empty(spark):
     assert mixing.mix_plan_rows(table(spark, [(1, None, "a"), (2, "", None)])).filter("taken > 0").count() == 0
 
 
+def test_mixing_whatever_columns_are_called(spark):
+    rows = [(i, "a b c d", s) for i, s in enumerate("xxxxyyyyzzzz")] + [(50, None, None), (51, "w " * 200000, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    clash = docs
+    for name in ("weight", "rank", "skey", "sbucket", "__key", "__bucket", "__order", "__before", "__start", "source_size", "taken"):
+        clash = clash.withColumn(name, F.lit("clash"))
+    plan = {r.doc_id: (r.size, r.target, r.taken, r.position) for r in mixing.plan_mix(docs).collect()}
+    got = mixing.plan_mix(clash).collect()
+    assert {r.doc_id: (r.size, r.target, r.taken, r.position) for r in got} == plan
+    assert all(r.weight == r["rank"] == r["__key"] == "clash" for r in got)
+    assert {r.doc_id: r.taken for r in mixing.mix_plan_rows(clash).collect()} == {d: p[2] for d, p in plan.items()}
+    assert Counter(r.doc_id for r in mixing.mix_documents(clash).collect()) == Counter(r.doc_id for r in mixing.mix_documents(docs).collect())
+
+
 # chat formatting
 
 TALK = "conv_id long, turn long, role string, text string, formatted string"
@@ -215,6 +229,27 @@ def test_chat_folds_events(spark):
     assert chat.format_chats(events.limit(0)).count() == 0
 
 
+def test_chat_folds_ties_by_kind(spark):
+    log = [(1, 5, "a", "delta", "assistant", "zz old"), (1, 5, "a", "regenerate", "assistant", ""), (1, 6, "a", "delta", "assistant", "new"), (2, 1, "b", "edit", "user", "a fix"), (2, 1, "b", "delta", "user", "draft")]
+    events = spark.createDataFrame(log, "conv_id long, seq long, message_id string, kind string, role string, text string")
+    got = {r.conv_id: [t.text for t in r.turns] for r in chat.read_back(chat.format_chats(events.repartition(3))).collect()}
+    assert got == {1: ["new"], 2: ["a fix"]}
+
+
+def test_chat_streams_fold_back_to_the_turns(spark):
+    rng = random.Random(9)
+    rows = [(c, t, rng.choice(["user", "assistant", "system", None]), rng.choice(NASTY)) for c in range(20) for t in range(rng.randrange(1, 9))]
+    rows += [(50, 1, "assistant", "same"), (50, 1, "assistant", "same"), (50, 1, "user", "same"), (51, None, "user", "x"), (None, 1, "assistant", "y")]
+    talk = table(spark, rows, TALK)
+    log = chat.turns_as_streams(talk)
+    kinds = Counter(r.kind for r in log.collect())
+    assert kinds["regenerate"] == sum(r == "assistant" for _, _, r, _ in rows) and kinds["edit"] == len(rows) - kinds["regenerate"]
+    digests = [sorted(map(str, chat.chat_digests(chat.format_chats(e)).collect())) for e in (chat.turns_as_events(talk), log)]
+    assert len(digests[0]) == len(digests[1])
+    assert [d for d in digests[0] if "conv_id=51" not in d] == [d for d in digests[1] if "conv_id=51" not in d]
+    assert chat.format_chats(chat.turns_as_streams(talk.limit(0))).count() == 0
+
+
 # sharding
 
 
