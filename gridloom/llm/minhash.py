@@ -163,14 +163,15 @@ def _beyond_pivot(members: DataFrame, sets: DataFrame, threshold: int) -> DataFr
     rest = F.concat(F.array_except("set", "set_h"), F.array_except("set_h", "set"))
     d = members.join(sets, "id").join(heads, "head").select("head", "id", "component", F.size("set").cast("long").alias("n"), rest.alias("rest"))
     d = durable(d.repartition("head", "id"))
-    # one order for all of a head's members: first what few of them have, then what COMMON or more have, rarest first
-    each = d.select("head", "id", "component", "n", F.size("rest").cast("long").alias("size"), F.explode("rest").alias("shingle"))
-    counts = each.groupBy("head", "shingle").agg(F.count("*").alias("df")).filter(F.col("df") >= COMMON)
-    ranked = each.join(counts, ["head", "shingle"], "left").select("head", "id", "component", "n", "size", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "shingle").alias("s"))
+    # one order for all of a head's members: first what few of them have, by hash, then what COMMON or more have, rarest first
+    each = d.select("head", "id", F.explode("rest").alias("shingle"))
+    counts = durable(each.groupBy("head", "shingle").agg(F.count("*").alias("df")).filter(F.col("df") >= COMMON))
+    common = by_ids(each, counts, "inner", ["head", "shingle"]).groupBy("head", "id").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("common"))
+    d = d.join(common, ["head", "id"], "left").withColumn("common", F.coalesce(F.transform("common", lambda s: s["shingle"]), F.expr("cast(array() as array<bigint>)")))
+    order = F.concat(F.array_except("rest", "common"), "common")
     # no partner is larger than n * 100 / t, so no more than this many shingles may differ
     most = F.floor(F.col("n") * (100 - t) * (100 + t) / ((100 + t) * t)).cast("int")
-    d = ranked.groupBy("head", "id", "component", "n", "size").agg(F.array_sort(F.collect_list("s")).alias("order"))
-    d = d.select("head", "id", "component", "n", "size", F.transform(F.slice("order", 1, most + 1), lambda x: x["shingle"]).alias("front"))
+    d = d.select("head", "id", "component", "n", F.size("rest").cast("long").alias("size"), F.slice(order, 1, most + 1).alias("front")).repartition("head", "id")
     front = durable(d.select("head", "id", "component", "n", "size", F.posexplode("front").alias("at", "shingle")))
     other = front.select("head", "shingle", *[F.col(c).alias(f"{c}2") for c in ("id", "component", "n", "size", "at")])
     differ = F.floor((F.col("n") + F.col("n2")) * (100 - t) / (100 + t))
