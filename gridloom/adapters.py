@@ -72,11 +72,8 @@ def keypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every byte of every document's text."""
-    d = read_table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("b")).filter("octet_length(b) > 0")
-    at = F.sequence(F.lit(0), F.octet_length("b") - 1)
-    rows = d.select("doc_id", F.posexplode(F.transform(at, lambda i: F.hex(F.substr("b", i + 1, F.lit(1))))).alias("pos", "hex"))
-    return rows.select("doc_id", "pos", F.conv("hex", 16, 10).cast("int").alias("byte"))
+    """Every document's text as a byte string, where it has any bytes; the SQL view has a row for each byte."""
+    return read_table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("data")).filter("octet_length(data) > 0")
 
 
 # The same views for DuckDB.

@@ -1,80 +1,161 @@
-"""Byte strings as rows (doc_id, pos, byte): histograms, runs, code costs, checksums. DataFrame functions only."""
+"""Byte strings as rows (doc_id, data): histograms, runs, code costs, checksums; and byte-wise operations on rasters.
+
+Each string is one row and is worked on inside it, vectorised over Arrow batches, so bytes are never rows of a shuffle; what
+follows from a string's 256 counts is array functions. A null string counts as empty. Memory is in proportion to a
+batch's longest string."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import zlib
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import scalar
 
+NBITS = np.array([v.bit_length() for v in range(256)], dtype=np.int64)
+
+
+def _each(make: Callable[[np.ndarray], object], kind: str) -> Callable[[str], Column]:
+    """A column function of a byte string, given what to make of its bytes."""
+
+    @F.pandas_udf(kind)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for strings in batches:
+            yield pd.Series([make(np.frombuffer(b or b"", dtype=np.uint8)) for b in strings])
+
+    return lambda column: run(F.col(column))
+
+
+def values(column: str) -> Column:
+    """A byte string's bytes as an array of numbers."""
+    return _each(lambda a: a.astype(np.int32), "array<int>")(column)
+
+
+def counts(strings: DataFrame) -> DataFrame:
+    """doc_id, counts (array of 256): how often each byte value stands in the string."""
+    count = _each(lambda a: np.bincount(a, minlength=256), "array<long>")
+    return strings.select("doc_id", count("data").alias("counts"))
 
-def histogram(df: DataFrame, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Count of each of the 256 byte values per group."""
-    n = df.groupBy(*by, "byte").agg(F.count("*").alias("n"))
-    grid = df.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(0), F.lit(255))).alias("byte"))
-    return grid.join(n, [*by, "byte"], "left").select(*by, "byte", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
+def histogram(strings: DataFrame) -> DataFrame:
+    """doc_id, byte, n for each of the 256 byte values."""
+    return counts(strings).select("doc_id", F.posexplode("counts").alias("byte", "n"))
 
-def least_common(hist: DataFrame, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+
+def least_common(strings: DataFrame) -> DataFrame:
     """The rarest byte, the lowest on ties."""
-    return hist.groupBy(*by).agg(F.min_by("byte", F.struct("n", "byte")).alias("byte"))
+    return counts(strings).select("doc_id", (F.array_position("counts", F.array_min("counts")) - 1).cast("int").alias("byte"))
 
 
-def by_count(hist: DataFrame, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def by_count(strings: DataFrame) -> DataFrame:
     """Symbols in use ranked by falling count, lower symbols first on ties."""
-    w = Window.partitionBy(*by).orderBy(F.desc("n"), "byte")
-    return hist.filter("n > 0").withColumn("rank", F.row_number().over(w))
-
-
-def entropy(hist: DataFrame, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Bits per symbol of the distribution (from two sums, so one pass)."""
-    n = F.col("n").cast("double")
-    total, part = F.sum(n), F.sum(F.when(n > 0, n * F.log2(n)).otherwise(0.0))
-    return hist.groupBy(*by).agg((F.log2(total) - part / total).alias("entropy"))
-
-
-def runs(df: DataFrame, longest: int = 32768) -> DataFrame:
-    """Runs of equal bytes: doc_id, run, start, byte, length; runs end at ``longest``."""
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    new = F.when(F.lag("byte").over(w).eqNullSafe(F.col("byte")), 0).otherwise(1)
-    at = df.withColumn("new", new).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    first = F.min("pos").over(Window.partitionBy("doc_id", "island"))
-    parts = at.withColumn("part", F.floor((F.col("pos") - first) / longest))
-    return parts.groupBy("doc_id", "island", "part").agg(F.min("pos").alias("start"), F.first("byte").alias("byte"), F.count("*").cast("int").alias("length")).drop("island", "part")
-
-
-def run_length_size(found: DataFrame, marker: DataFrame) -> DataFrame:
-    """Bytes of the run-length code with the document's marker byte (doc_id, byte): literal up to three, else marker, count in one or two bytes, symbol; the marker itself always takes a pair."""
-    m = marker.select("doc_id", F.col("byte").alias("marker"))
-    n, is_marker = F.col("length"), F.col("byte") == F.col("marker")
-    cost = F.when(n <= 3, F.when(is_marker, 2).otherwise(n)).otherwise(F.when(n > 128, 4).otherwise(3))
-    return found.join(m, "doc_id").groupBy("doc_id").agg((F.sum(cost) + 1).alias("size"))
-
-
-def rice_parameters(df: DataFrame, history: int = 16) -> DataFrame:
-    """Adds nbits and k: the rounded mean bit length of the previous 16 words, for the first 16 that of the first ones (1 at least)."""
-    bits = df.withColumn("nbits", scalar.bit_length(F.col("byte")))
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    first = bits.filter(F.col("pos") < history).groupBy("doc_id").agg(F.sum("nbits").alias("s"), F.count("*").alias("c"))
-    first = first.select("doc_id", F.greatest(F.lit(1), F.floor((F.col("s") + F.floor(F.col("c") / 2)) / F.col("c"))).cast("int").alias("k0"))
-    moving = F.sum("nbits").over(w.rowsBetween(-history, -1))
-    k = F.when(F.col("pos") < history, F.col("k0")).otherwise(F.floor((moving + history // 2) / history)).cast("int")
-    return bits.join(first, "doc_id").withColumn("k", k).drop("k0")
-
-
-def rice_bits(params: DataFrame, limit: int = 8) -> DataFrame:
-    """Bits of the Rice code per document: quotient in unary below ``limit``, else an escape with the quotient's bit length."""
-    q = F.expr("shiftright(byte, k)")
-    long_form = F.lit(limit) + scalar.bit_length(q - limit) + 1 + F.greatest(F.lit(0), scalar.bit_length(q - limit) - 1)
-    cost = F.when(q < limit, q + 1).otherwise(long_form) + F.col("k")
-    return params.groupBy("doc_id").agg((F.sum(cost) + 8).alias("bits"))
-
-
-def adler32(df: DataFrame) -> DataFrame:
-    """Adler-32 per document by two sums."""
-    n = df.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("byte").alias("s"), F.sum(F.col("byte").cast("long") * F.col("pos")).alias("w"))
-    a, b = (F.col("s") + 1) % 65521, (F.col("n") + F.col("n") * F.col("s") - F.col("w")) % 65521
-    return n.select("doc_id", (b * 65536 + a).alias("adler"))
+    symbols = F.array_sort(F.filter(F.transform("counts", lambda n, b: F.struct((-n).alias("less"), b.alias("byte"))), lambda s: s["less"] < 0))
+    ranked = counts(strings).select("doc_id", F.posexplode(symbols).alias("at", "s"))
+    return ranked.select("doc_id", F.col("s.byte").alias("byte"), (-F.col("s.less")).alias("n"), (F.col("at") + 1).alias("rank"))
+
+
+def entropy(strings: DataFrame) -> DataFrame:
+    """Bits per symbol of the distribution; null for an empty string."""
+    n = F.transform("counts", lambda x: x.cast("double"))
+    total = F.aggregate(n, F.lit(0.0), lambda s, x: s + x)
+    part = F.aggregate(n, F.lit(0.0), lambda s, x: s + F.when(x > 0, x * F.log2(x)).otherwise(0.0))
+    return counts(strings).select("doc_id", F.when(total > 0, F.log2(total) - part / total).alias("entropy"))
+
+
+def run_table(a: np.ndarray, longest: int = 32768) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, byte and length of each run of equal bytes; longer ones are cut every ``longest`` bytes."""
+    if not len(a):
+        return (np.empty(0, dtype=np.int64),) * 3
+    begin = np.concatenate([[0], np.flatnonzero(a[1:] != a[:-1]) + 1])
+    size = np.diff(np.append(begin, len(a)))
+    parts = -(-size // longest)
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    start = np.repeat(begin, parts) + nth * longest
+    return start, a[start].astype(np.int64), np.minimum(longest, np.repeat(begin + size, parts) - start)
+
+
+def runs(strings: DataFrame, longest: int = 32768) -> DataFrame:
+    """Runs of equal bytes: doc_id, start, byte, length; runs end at ``longest``."""
+    shape = "doc_id long, start int, byte int, length int"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for doc_id, data in zip(pdf["doc_id"], pdf["data"], strict=True):
+                start, byte, length = run_table(np.frombuffer(data or b"", dtype=np.uint8), longest)
+                yield pd.DataFrame({"doc_id": doc_id, "start": start, "byte": byte, "length": length})
+
+    return strings.select("doc_id", "data").mapInPandas(run, shape)
+
+
+def run_lengths(strings: DataFrame, longest: int = 32768) -> DataFrame:
+    """Runs of a string by byte and length: doc_id, byte, length, n (how many), first (start of the first)."""
+
+    def tally(a: np.ndarray) -> list[dict]:
+        start, byte, length = run_table(a, longest)
+        key, first, n = np.unique(byte * (longest + 1) + length, return_index=True, return_counts=True)
+        rows = zip((key // (longest + 1)).tolist(), (key % (longest + 1)).tolist(), n.tolist(), start[first].tolist(), strict=True)
+        return [dict(zip(("byte", "length", "n", "first"), r, strict=True)) for r in rows]
+
+    found = _each(tally, "array<struct<byte:int,length:int,n:bigint,first:int>>")
+    return strings.select("doc_id", F.explode(found("data")).alias("r")).select("doc_id", "r.*")
+
+
+def run_length_size(strings: DataFrame) -> DataFrame:
+    """Bytes of the run-length code with the string's rarest byte as marker: literal up to three, else marker, count in one or two bytes, symbol; the marker itself always takes a pair."""
+
+    def size(a: np.ndarray) -> int:
+        _, byte, n = run_table(a)
+        marker = np.argmin(np.bincount(a, minlength=256))
+        short = np.where(byte == marker, 2, n)
+        return int(np.where(n <= 3, short, np.where(n > 128, 4, 3)).sum()) + 1
+
+    return strings.select("doc_id", _each(size, "long")("data").alias("size"))
+
+
+def rice_words(a: np.ndarray, history: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """Bit length and parameter k of each word: the rounded mean bit length of the previous 16 words, for the first 16 that of the first ones (1 at least)."""
+    nbits = NBITS[a]
+    ahead = np.concatenate([[0], np.cumsum(nbits)])
+    c = min(history, len(a))
+    k = np.full(len(a), max(1, (int(ahead[c]) + c // 2) // c) if c else 0)
+    if len(a) > history:
+        k[history:] = (ahead[history:-1] - ahead[: -history - 1] + history // 2) // history
+    return nbits, k
+
+
+def rice_parameters(strings: DataFrame, history: int = 16) -> DataFrame:
+    """doc_id, pos, byte, nbits, k of each word of a string."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for doc_id, data in zip(pdf["doc_id"], pdf["data"], strict=True):
+                a = np.frombuffer(data or b"", dtype=np.uint8)
+                nbits, k = rice_words(a, history)
+                yield pd.DataFrame({"doc_id": doc_id, "pos": np.arange(len(a)), "byte": a, "nbits": nbits, "k": k})
+
+    return strings.select("doc_id", "data").mapInPandas(run, "doc_id long, pos int, byte int, nbits int, k int")
+
+
+def rice_code(strings: DataFrame, history: int = 16, limit: int = 8) -> DataFrame:
+    """doc_id, sums of k and nbits over a string's words, and bits of its Rice code: quotient in unary below ``limit``, else an escape with the quotient's bit length."""
+
+    def cost(a: np.ndarray) -> list[int]:
+        nbits, k = rice_words(a, history)
+        q = a.astype(np.int64) >> k
+        over = NBITS[np.maximum(q - limit, 0)]
+        bits = np.where(q < limit, q + 1, limit + over + 1 + np.maximum(0, over - 1)) + k
+        return [int(k.sum()), int(nbits.sum()), int(bits.sum()) + 8]
+
+    return strings.select("doc_id", _each(cost, "array<long>")("data").alias("c")).select("doc_id", *[F.col("c")[i].alias(n) for i, n in enumerate(("k", "nbits", "bits"))])
+
+
+def adler32(strings: DataFrame) -> DataFrame:
+    """Adler-32 of each string."""
+    return strings.select("doc_id", _each(lambda a: zlib.adler32(a), "long")("data").alias("adler"))
 
 
 def filter_rows(raster: DataFrame, kind: str) -> DataFrame:
