@@ -66,36 +66,43 @@ def global_minimum(signal: DataFrame) -> DataFrame:
     return signal.groupBy("series_id").agg(F.min_by("idx", F.struct("v", "idx")).alias("idx"), F.min("v").alias("v"))
 
 
+def leg_end(x: np.ndarray, start: int, delta: float) -> int | None:
+    """Place of the first highest sample of the leg from ``start`` on, which ends where a sample lies more than delta below it; None if it does not end."""
+    width = 64
+    while True:
+        part = x[start : start + width]
+        fallen = np.flatnonzero(part < np.maximum.accumulate(part) - delta)
+        if len(fallen):
+            return start + int(np.argmax(part[: fallen[0]]))
+        if start + width >= len(x):
+            return None
+        width *= 2
+
+
 def peaks(v: Sequence[float], delta: float, maximum_first: bool = False) -> list[int]:
-    """Indices of maxima that rise and fall by more than delta; after each turn the scan resumes at the extremum."""
-    out: list[int] = []
-    seeking_max = maximum_first
-    top = bottom = 0
-    i = 1
-    while i < len(v):
-        if v[i] > v[top]:
-            top = i
-        if v[i] < v[bottom]:
-            bottom = i
-        if seeking_max and v[i] < v[top] - delta:
-            out.append(top)
-            seeking_max, i, bottom = False, top, top
-        elif not seeking_max and v[i] > v[bottom] + delta:
-            seeking_max, i, top = True, bottom, bottom
-        else:
-            i += 1
-            continue
-    return out
+    """Maxima of the zigzag of tolerance delta: legs go up and down in turn, each beginning at the extremum that ended the one before."""
+    legs = {True: np.asarray(v, dtype=np.float64)}
+    legs[False] = -legs[True]
+    turns: list[int] = []
+    up, at = maximum_first, 0
+    while (end := leg_end(legs[up], at, delta)) is not None:
+        turns += [end] if up else []
+        up, at = not up, end
+    return turns
+
+
+# Where the search for a number of peaks or layers begins, its step, and how often it is tried.
+FIRST_DELTA, SHRINK, TRIES, HALVINGS = 0.1, 0.9, 1000, 50
 
 
-def peaks_of_count(v: Sequence[float], count: int, tries: int = 1000) -> list[int]:
-    """Peaks at the delta, shrunk or grown by a tenth from 0.1, at which there are ``count``."""
-    delta, found = 0.1, []
+def peaks_of_count(v: Sequence[float], count: int, tries: int = TRIES) -> list[int]:
+    """Peaks at the delta, shrunk or grown step by step from FIRST_DELTA, at which there are ``count``."""
+    delta, found = FIRST_DELTA, []
     for _ in range(tries):
         found = peaks(v, delta)
         if len(found) == count:
             break
-        delta = delta * 0.9 if len(found) < count else delta / 0.9
+        delta = delta * SHRINK if len(found) < count else delta / SHRINK
     return found
 
 
@@ -109,7 +116,7 @@ def layers_by_drop(upper: Sequence[float], drop: float, gap: int) -> list[int]:
     return out
 
 
-def layers_of_count(upper: Sequence[float], count: int, gap: int, steps: int = 50) -> list[int]:
+def layers_of_count(upper: Sequence[float], count: int, gap: int, steps: int = HALVINGS) -> list[int]:
     """Levels at the drop, found by halving [0, 0.5], that gives ``count`` of them."""
     low, high, drop = 0.0, 0.5, 0.5
     for _ in range(steps):
