@@ -223,13 +223,15 @@ def _has_arc(mask: int, n: int = 9) -> bool:
 
 
 def fast_corners(df: DataFrame, limit: float) -> DataFrame:
-    """Segment test: pixels with nine or more consecutive circle pixels all brighter or all darker by over ``limit``; v is the largest limit at which that holds (0-based integer steps)."""
-    ring = df.select(*KEY, F.col("v").alias("c"), F.posexplode(F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in CIRCLE])).alias("k", "o"))
-    ring = ring.select(*KEY, "c", "k", (F.col("x") + F.col("o.dx")).alias("px"), (F.col("y") + F.col("o.dy")).alias("py"))
-    cells = df.select("image_id", F.col("x").alias("px"), F.col("y").alias("py"), F.col("v").alias("w"))
-    d = ring.join(cells, ["image_id", "px", "py"]).groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", (F.col("w") - F.col("c")).alias("d")))), lambda s: s["d"]).alias("d"))
-    d = d.filter(F.size("d") == 16)
-    arcs = F.array(*[F.array(*[F.get("d", F.lit((s + i) % 16)) for i in range(9)]) for s in range(16)])
+    """Segment test on a dense raster: pixels with nine or more consecutive circle pixels all brighter or all darker by over ``limit``; v is the largest limit at which that holds (0-based integer steps).
+
+    The circle is read by shifts along columns, then rows, so there are two exchanges and nothing is gathered."""
+    wx, wy = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
+    at = lambda c, n, w: F.lead(c, n).over(w) if n >= 0 else F.lag(c, -n).over(w)
+    d = df.select(*KEY, "v", *[at("v", dy, wy).alias(f"row{dy + 3}") for dy in range(-3, 4)])
+    d = d.select(*KEY, F.array(*[at(f"row{dy + 3}", dx, wx) - F.col("v") for dx, dy in CIRCLE]).alias("ring"))
+    d = d.filter(~F.exists("ring", lambda x: x.isNull())).select(*KEY, F.concat("ring", F.slice("ring", 1, 8)).alias("ring"))
+    arcs = F.transform(F.sequence(F.lit(1), F.lit(16)), lambda s: F.slice("ring", s, F.lit(9)))
     bright = F.array_max(F.transform(arcs, lambda a: F.array_min(a)))
     dark = F.array_max(F.transform(arcs, lambda a: -F.array_max(a)))
     return d.select(*KEY, F.greatest(bright, dark).alias("v")).filter(F.col("v") > limit)
