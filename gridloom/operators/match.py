@@ -37,6 +37,11 @@ def repeated_pairs(a: DataFrame, b: DataFrame, radius: float, n: int, by: Sequen
     return first_match(a, b, radius, by).filter(F.col("repeated") & (F.col("i") <= n) & (F.col("j") <= n)).select(*by, "i", "j")
 
 
+def early(flags: DataFrame) -> DataFrame:
+    """First matches in which a point counts as repeated only if its match is among as many points of the other image as it is itself (j <= i), as precision asks."""
+    return flags.withColumn("repeated", F.col("repeated") & (F.col("j") <= F.col("i")))
+
+
 def running_precision(flags: DataFrame, by: Sequence[str]) -> DataFrame:
     """Adds precision (share of repeated points up to i) and hits (their number)."""
     w = Window.partitionBy(*by).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -42,8 +43,13 @@ register("src10_homography", lambda s, d: I.homographies(s.createDataFrame([("a"
          "SELECT 'a' AS name, CAST(i AS INT) AS i, [1, 0, 10, 0, 1, -5, 0, 0, 1][i + 1]::DOUBLE AS v FROM range(9) t(i)")
 PATHS = ["d/graf/img1.ppm", "d/graf/img2.ppm", "d/graf/H1to2p", "d/wall/img12.png", "d/wall/H1to3p.txt", "d/wall/n.txt"]
 register("src11_dataset", lambda s, d: I.dataset_files(s.createDataFrame([(p,) for p in PATHS], "path string"), "vgg").fillna(-1),
-         """SELECT * FROM (VALUES ('graf', 'd/graf/img1.ppm', 'image', 1), ('graf', 'd/graf/img2.ppm', 'image', 2), ('graf', 'd/graf/H1to2p', 'homography', -1), ('wall', 'd/wall/img12.png', 'image', 12),
+         """SELECT * FROM (VALUES ('graf', 'd/graf/img1.ppm', 'image', 1), ('graf', 'd/graf/img2.ppm', 'image', 2), ('graf', 'd/graf/H1to2p', 'homography', 2), ('wall', 'd/wall/img12.png', 'image', 12),
     ('wall', 'd/wall/H1to3p.txt', 'homography', 3), ('wall', 'd/wall/n.txt', 'other', -1)) t(scene, path, role, number)""")
+NAMED = {"hp": ["d/v_a/1.ppm", "d/v_a/2.ppm", "d/v_a/H_1_2"], "ef": ["d/notre/img1.png", "d/notre/img3.png", "d/notre/H1to3p", "d/notre/n.txt"], "webcam": ["d/cam/img1.png", "d/cam/img2.png", "d/cam/H"]}
+register("src13_dataset_kinds", lambda s, d: functools.reduce(lambda a, b: a.unionByName(b), [I.dataset_files(s.createDataFrame([(p,) for p in paths], "path string"), kind).withColumn("kind", F.lit(kind)) for kind, paths in NAMED.items()]).fillna(-1),
+         """SELECT * FROM (VALUES ('v_a', 'd/v_a/1.ppm', 'image', 1, 'hp'), ('v_a', 'd/v_a/2.ppm', 'image', 2, 'hp'), ('v_a', 'd/v_a/H_1_2', 'homography', 2, 'hp'), ('notre', 'd/notre/img1.png', 'image', 1, 'ef'),
+    ('notre', 'd/notre/img3.png', 'image', 3, 'ef'), ('notre', 'd/notre/H1to3p', 'homography', 3, 'ef'), ('notre', 'd/notre/n.txt', 'other', -1, 'ef'), ('cam', 'd/cam/img1.png', 'image', 1, 'webcam'), ('cam', 'd/cam/img2.png', 'image', 2, 'webcam'),
+    ('cam', 'd/cam/H', 'homography', 0, 'webcam')) t(scene, path, role, number, kind)""")
 register("src12_scene_sizes", lambda s, d: I.scene_sizes(A.keypoints(s, d).select("scene").distinct(), s.createDataFrame([("3", 4)], "scene string, n int")),
          " SELECT DISTINCT scene, CASE WHEN scene = '3' THEN 4 ELSE 6 END AS n FROM keypoints", "keypoints")
 CONFIG = "# c\na = 1\ngrp = (\nb = %a%x\n)\nflag = Yes\n"

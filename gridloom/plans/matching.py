@@ -32,13 +32,17 @@ AB = """, k AS (SELECT *, row_number() OVER (PARTITION BY scene, image_id ORDER
     a AS (SELECT scene, CAST(r AS INT) AS i, x, y, response, descriptor FROM k WHERE image_id = '0'), b AS (SELECT scene, CAST(r AS INT) AS j, x, y, response, descriptor FROM k WHERE image_id = '1')"""
 FLAGS = AB + """, m AS (SELECT a.scene, a.i, min(b.j) AS j FROM a JOIN b ON a.scene = b.scene AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 3600 GROUP BY ALL),
     f AS (SELECT a.scene, a.i, CAST(coalesce(m.j, (SELECT count(*) FROM b WHERE b.scene = a.scene)) AS INT) AS j, m.j IS NOT NULL AS repeated FROM a LEFT JOIN m USING (scene, i)),
-    p AS (SELECT *, sum(CAST(repeated AS INT)) OVER (PARTITION BY scene ORDER BY i) AS hits FROM f)"""
+    p AS (SELECT scene, i, j, repeated AND j <= i AS repeated, sum(CAST(repeated AND j <= i AS INT)) OVER (PARTITION BY scene ORDER BY i) AS hits FROM f)"""
 
 
 def flags(s, d):
     return M.first_match(first(s, d), second(s, d), 60.0, BY)
 
 
+def early(s, d):
+    return M.early(flags(s, d))
+
+
 register("srt01_ranked", lambda s, d: K.top_n(A.keypoints(s, d), None, ["scene", "image_id"]).select("scene", "image_id", "kp_id", "rank"),
          " SELECT scene, image_id, kp_id, CAST(row_number() OVER (PARTITION BY scene, image_id ORDER BY response DESC, x, y) AS INT) AS rank FROM keypoints", "keypoints")
 register("srt02_top_n", lambda s, d: K.top_n(A.keypoints(s, d), 5, ["scene"]).select("scene", "kp_id", "rank"),
@@ -47,11 +51,11 @@ register("flt01_inside", lambda s, d: K.inside(A.keypoints(s, d), 600, 500).sele
 register("flt02_off_border", lambda s, d: K.off_border(A.keypoints(s, d), 1000, 1000, 400).select("kp_id"), " SELECT kp_id FROM keypoints WHERE NOT (x < 400 OR x > 600 OR y < 400 OR y > 600)", "keypoints")
 register("jn02_first_match", flags, FLAGS + " SELECT * FROM f", "keypoints")
 register("jn03_repeated_pairs", lambda s, d: M.repeated_pairs(first(s, d), second(s, d), 60.0, 20, BY), FLAGS + " SELECT scene, i, j FROM f WHERE repeated AND i <= 20 AND j <= 20", "keypoints")
-register("win03_running_precision", lambda s, d: M.running_precision(flags(s, d), BY),
+register("win03_running_precision", lambda s, d: M.running_precision(early(s, d), BY),
          FLAGS + " SELECT scene, i, j, repeated, CAST(hits AS BIGINT) AS hits, hits / (i + 1) AS precision FROM p", "keypoints")
 AP = FLAGS + """, ap AS (SELECT scene, CASE WHEN count(*) FILTER (repeated) >= 5 THEN coalesce(sum(hits / (i + 1)) FILTER (repeated AND hits <= 5), 0) / 5 ELSE 0 END::DOUBLE AS ap FROM p GROUP BY scene)"""
-register("agg10_average_precision", lambda s, d: M.average_precision(flags(s, d), 5, BY), AP + " SELECT * FROM ap", "keypoints")
-register("agg16_repeated", lambda s, d: flags(s, d).groupBy("scene").agg(F.count_if("repeated").alias("n")), FLAGS + " SELECT scene, count(*) FILTER (repeated) AS n FROM f GROUP BY scene", "keypoints")
+register("agg10_average_precision", lambda s, d: M.average_precision(early(s, d), 5, BY), AP + " SELECT * FROM ap", "keypoints")
+register("agg16_repeated", lambda s, d: early(s, d).groupBy("scene").agg(F.count_if("repeated").alias("n")), FLAGS + " SELECT scene, count(*) FILTER (repeated) AS n FROM p GROUP BY scene", "keypoints")
 CURVE = """, {p} AS (SELECT a.scene, a.{i} AS i, b.{j} AS j, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 90000 AS near,
       list_sum(list_transform(range(1, 65), lambda q: (a.descriptor[q] - b.descriptor[q]) * (a.descriptor[q] - b.descriptor[q]))) AS fd FROM {a} a JOIN {b} b ON a.scene = b.scene WHERE a.{i} < 12 AND b.{j} < 12),
     {p}r AS (SELECT scene, i, j, arg_min(near, [fd, -j]) OVER w AS correct, max(CAST(near AS INT)) OVER w AS anyone FROM {p} WINDOW w AS (PARTITION BY scene, i ORDER BY j)),
@@ -77,7 +81,7 @@ register("jn07_least_distance", lambda s, d: M.least_distance(first(s, d), secon
 
 
 def metrics(s, d):
-    return M.average_precision(flags(s, d), 5, BY).join(M.coverage(first(s, d), 15, BY), BY)
+    return M.average_precision(early(s, d), 5, BY).join(M.coverage(first(s, d), 15, BY), BY)
 
 
 METRICS = AP + COVER[len(AB):] + ", me AS (SELECT scene, ap.ap, cv.coverage FROM ap LEFT JOIN cv USING (scene))"
@@ -100,7 +104,7 @@ def full_curves(s, d):
 
 
 def full_metrics(s, d):
-    return M.average_precision(flags(s, d), 100, BY).join(M.coverage(first(s, d), 200, BY), BY)
+    return M.average_precision(early(s, d), 100, BY).join(M.coverage(first(s, d), 200, BY), BY)
 
 
 FULL_ONE, FULL_SYM = sized(ONE, ("< 12", "< 1000")), sized(SYM, ("< 12", "< 1000"))
@@ -112,7 +116,7 @@ register("jn03_repeated_pairs_full", lambda s, d: M.repeated_pairs(first(s, d),
 register("jn04_prefix_matches_full", lambda s, d: M.prefix_matches(first(s, d), second(s, d), 300.0, 1000, BY), AB + FULL_ONE + " SELECT scene, k, repeated::DOUBLE AS repeated, matched::DOUBLE AS matched FROM ec", "keypoints")
 register("jn05_symmetric_matches_full", full_curves, FULL_SYM + " SELECT * FROM sy", "keypoints")
 register("jn06_pair_distances_full", lambda s, d: M.pair_distances(first(s, d), 200, BY), FULL_COVER + " SELECT * FROM dd", "keypoints")
-register("agg10_average_precision_full", lambda s, d: M.average_precision(flags(s, d), 100, BY), FULL_AP + " SELECT * FROM ap", "keypoints")
+register("agg10_average_precision_full", lambda s, d: M.average_precision(early(s, d), 100, BY), FULL_AP + " SELECT * FROM ap", "keypoints")
 register("agg11_coverage_full", lambda s, d: M.coverage(first(s, d), 200, BY), FULL_COVER + " SELECT DISTINCT a.scene, cv.coverage FROM a LEFT JOIN cv USING (scene)", "keypoints")
 register("agg12_mean_curve_full", lambda s, d: M.mean_curve(full_curves(s, d)), FULL_SYM + " SELECT k, sum(repeated) / count(*) AS repeated, sum(matched) / count(*) AS matched FROM sy GROUP BY k", "keypoints")
 register("agg13_scene_summary_full", lambda s, d: M.scene_summary(full_metrics(s, d)),

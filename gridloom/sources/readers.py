@@ -228,11 +228,12 @@ def homographies(texts: DataFrame) -> DataFrame:
 def dataset_files(paths: DataFrame, kind: str) -> DataFrame:
     """Scene folders from a column path '.../scene/file': scene, path, role (image, homography, other) and number.
 
-    kind: vgg, hp, ef or webcam. An image's number ends its stem; a homography's is its stem's last character
-    for hp, 0 (all images) for webcam and the last but one otherwise."""
+    kind: vgg, hp, ef or webcam. An image's number ends its stem; a homography's is its stem's (a name without extension is
+    its own stem) last character for hp, 0 (all images) for webcam and the last but one otherwise."""
     parts = F.split("path", "/")
     name, scene = F.element_at(parts, -1), F.element_at(parts, -2)
-    ext, stem = F.lower(scalar.file_extension(name)), scalar.file_stem(name)
+    ext = F.lower(scalar.file_extension(name))
+    stem = F.when(ext == "", name).otherwise(scalar.file_stem(name))
     image = ext.isin("ppm", "pgm", "png", "jpg", "jpeg", "bmp")
     other = {"hp": F.substring(stem, -1, 1), "webcam": F.lit("0")}.get(kind, F.substring(stem, -2, 1))
     text = (ext == "txt") | (ext == "") | stem.startswith("H")
