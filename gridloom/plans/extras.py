@@ -56,10 +56,6 @@ register(
     matching.SYM + " SELECT scene, string_agg(printf('%.6f', repeated), ',' ORDER BY k) AS line FROM sy GROUP BY scene",
     "keypoints",
 )
-register(
-    "grf13_tagged_clusters",
-    lambda s, d: C.label(A.event_raster(s, d).withColumn("v", F.when(F.col("v") >= 2, 1.0).otherwise(0.0)), eight=False).filter("v > 0").groupBy("image_id").agg(F.countDistinct("component").alias("clusters")),
-)
 register(
     "top02_pairs_by_threshold",
     lambda s, d: G.persistence_pairs(A.signal(s, d), 5.0).groupBy("series_id").agg(F.count("*").alias("n"), F.min("persistence").alias("least")),

@@ -257,7 +257,16 @@ register(
     SELECT image_id, CAST(CASE WHEN s = 8 THEN 1 ELSE starts END AS INT) AS objects, count(*) AS n FROM k GROUP BY ALL""",
     "event_raster",
 )
-register("nbr14_skeleton_ends", lambda s, d: S.skeleton_ends(R.threshold_inverse(A.event_raster(s, d), 4)))
+# a pixel's neighbours are one, or two or three in a row along one side
+register(
+    "nbr14_skeleton_ends",
+    lambda s, d: S.skeleton_ends(R.threshold_inverse(A.event_raster(s, d), 4)),
+    ", t AS (SELECT image_id, x, y, CASE WHEN v >= 4 THEN 255 ELSE 0 END AS v FROM event_raster)"
+    + CODE.replace("event_raster", "t")
+    + """ SELECT image_id, x, y FROM c WHERE "on" = 1 AND (code IN (1, 2, 4, 8, 16, 32, 64, 128)
+        OR code IN (1 + 2, 2 + 4, 1 + 2 + 4) OR code IN (32 + 64, 64 + 128, 32 + 64 + 128) OR code IN (1 + 8, 8 + 32, 1 + 8 + 32) OR code IN (4 + 16, 16 + 128, 4 + 16 + 128))""",
+    "event_raster",
+)
 BLUR = """, b AS (SELECT a.image_id, a.x, a.y, CAST(sum(b.v * [1, 4, 6, 4, 1][b.x - a.x + 3] * [1, 4, 6, 4, 1][b.y - a.y + 3]) AS BIGINT) AS weighted
      FROM part_raster a JOIN part_raster b ON b.image_id = a.image_id AND abs(b.x - a.x) <= 2 AND abs(b.y - a.y) <= 2 GROUP BY a.image_id, a.x, a.y)"""
 register("nbr08_density_blur", lambda s, d: S.density_blur(A.part_raster(s, d)), BLUR + " SELECT image_id, x, y, weighted / 36.0::DOUBLE AS v, weighted FROM b", "part_raster")

@@ -49,6 +49,12 @@ register(
     EIGHT + " SELECT image_id, x, y, CASE WHEN n < 7.2 THEN 255 - v ELSE v END AS v FROM (SELECT *, count(*) OVER (PARTITION BY image_id, component) AS n FROM l)",
     "event_raster",
 )
+register(
+    "grf13_tagged_clusters",
+    lambda s, d: C.label(A.event_raster(s, d).withColumn("v", F.when(F.col("v") >= 2, 1.0).otherwise(0.0)), eight=False).filter("v > 0").groupBy("image_id").agg(F.countDistinct("component").alias("clusters")),
+    FOUR.replace("v >= 3", "v >= 2") + " SELECT image_id, count(DISTINCT component) AS clusters FROM l WHERE v > 0 GROUP BY image_id",
+    "event_raster",
+)
 register("grf02_remove_islands", lambda s, d: C.remove_islands(A.part_raster(s, d), 0.5))
 register(
     "grf04_strongest",
@@ -135,8 +141,26 @@ register(
     TOY + " SELECT image_id, level, x, y, importance FROM m WHERE saliency >= 3 AND importance > 1 AND NOT (importance < 5 AND sqrt(d2) < 1.5)",
     "event_raster",
 )
-register("jn09_site_labels", lambda s, d: D.importance(labelled_sites(s, d)).groupBy("image_id", "level").agg(F.count("importance").alias("n")))
-register("dst08_interpolation", lambda s, d: D.skeleton_interpolation(D.nearest_site(layer(s, d)), D.skeleton(D.importance(labelled_sites(s, d)), 1.0)))
+# the nearest edge pixel's label, the first in rows on ties
+SITES = EDGE + """, z AS (SELECT e.image_id, e.level, e.x, e.y, min((e.x - q.x) * (e.x - q.x) + (e.y - q.y) * (e.y - q.y)) AS d2,
+      arg_min(q.x * 7 + q.y * 13, ((e.x - q.x) * (e.x - q.x) + (e.y - q.y) * (e.y - q.y)) * 1000000 + q.y * 1000 + q.x) AS label
+      FROM e JOIN e q ON q.edge AND q.image_id = e.image_id AND q.level = e.level GROUP BY ALL),
+    g AS (SELECT *, abs(label - lead(label) OVER r) AS a, abs(label - lag(label) OVER r) AS b, abs(label - lead(label) OVER c) AS s, abs(label - lag(label) OVER c) AS t
+      FROM z WINDOW r AS (PARTITION BY image_id, level, y ORDER BY x), c AS (PARTITION BY image_id, level, x ORDER BY y)),
+    i AS (SELECT image_id, level, x, y, d2, CAST(CASE WHEN d2 > 0 AND a + b + s + t IS NOT NULL THEN least(greatest(a, b, s, t), abs(300 - greatest(a, b, s, t))) END AS DOUBLE) AS importance FROM g)"""
+register("jn09_site_labels", lambda s, d: D.importance(labelled_sites(s, d)).select(*D.KEY, "importance"), SITES + " SELECT image_id, level, x, y, importance FROM i", "event_raster")
+register(
+    "dst08_interpolation",
+    lambda s, d: D.skeleton_interpolation(D.nearest_site(layer(s, d)), D.skeleton(D.importance(labelled_sites(s, d)), 1.0)).select(
+        *D.KEY, *[F.round(c, 9).alias(c) for c in ("dt", "skeleton_dt", "b")]
+    ),
+    SITES
+    + """, k AS (SELECT * FROM i WHERE importance / sqrt(d2) >= 1 AND importance > 1 AND NOT (importance < 5 AND sqrt(d2) < 1.5)),
+    w AS (SELECT n.image_id, n.level, n.x, n.y, sqrt(n.d2) AS dt, sqrt(min((n.x - k.x) * (n.x - k.x) + (n.y - k.y) * (n.y - k.y))) AS sd
+      FROM n LEFT JOIN k ON k.image_id = n.image_id AND k.level = n.level GROUP BY n.image_id, n.level, n.x, n.y, n.d2)
+    SELECT image_id, level, x, y, round(dt, 9) AS dt, round(sd, 9) AS skeleton_dt, round(CASE WHEN dt > 0 THEN least(1.0, dt / (dt + sd)) ELSE 0.0 END, 9) AS b FROM w""",
+    "event_raster",
+)
 register("grf07_endpoints", lambda s, d: T.endpoints(A.embed_raster(s, d), 1.6, 32))
 register("udf02_skeleton_corners", lambda s, d: T.skeleton_corners(A.part_raster(s, d), margin=2))
 
@@ -153,28 +177,22 @@ register("win07_layers_by_maxima", lambda s, d: G.choose_layers(R.upper_levels(R
 
 # bytes
 HIST = ", h AS (SELECT g.doc_id, g.byte, count(b.byte) AS n FROM (SELECT doc_id, CAST(r AS INT) AS byte FROM (SELECT DISTINCT doc_id FROM text_bytes), range(256) t(r)) g LEFT JOIN text_bytes b ON b.doc_id = g.doc_id AND b.byte = g.byte GROUP BY ALL)"
-
-
-def hist(s, d):
-    return B.histogram(A.text_bytes(s, d))
-
-
-register("agg20_byte_histogram", hist, HIST + " SELECT * FROM h", "text_bytes")
-register("agg20_least_common", lambda s, d: B.least_common(hist(s, d)), HIST + " SELECT doc_id, arg_min(byte, n * 256 + byte) AS byte FROM h GROUP BY doc_id", "text_bytes")
-register("srt07_by_count", lambda s, d: B.by_count(hist(s, d)), HIST + " SELECT doc_id, byte, n, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, byte) AS INT) AS rank FROM h WHERE n > 0", "text_bytes")
+register("agg20_byte_histogram", lambda s, d: B.histogram(A.text_bytes(s, d)), HIST + " SELECT * FROM h", "text_bytes")
+register("agg20_least_common", lambda s, d: B.least_common(A.text_bytes(s, d)), HIST + " SELECT doc_id, arg_min(byte, n * 256 + byte) AS byte FROM h GROUP BY doc_id", "text_bytes")
+register("srt07_by_count", lambda s, d: B.by_count(A.text_bytes(s, d)), HIST + " SELECT doc_id, byte, n, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, byte) AS INT) AS rank FROM h WHERE n > 0", "text_bytes")
 register(
     "agg21_entropy",
-    lambda s, d: B.entropy(hist(s, d)).withColumn("entropy", F.round("entropy", 9)),
+    lambda s, d: B.entropy(A.text_bytes(s, d)).withColumn("entropy", F.round("entropy", 9)),
     HIST + " SELECT doc_id, round(log2(sum(n)) - sum(CASE WHEN n > 0 THEN n * log2(n) ELSE 0 END) / sum(n), 9) AS entropy FROM h GROUP BY doc_id",
     "text_bytes",
 )
 RUNS = """, i AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, byte ORDER BY pos) AS island FROM text_bytes),
     r AS (SELECT doc_id, min(pos) AS start, byte, CAST(count(*) AS INT) AS length FROM i GROUP BY doc_id, byte, island)"""
-register("win10_runs", lambda s, d: B.runs(A.text_bytes(s, d)).groupBy("doc_id", "byte", "length").agg(F.count("*").alias("n"), F.min("start").alias("first")),
+register("win10_runs", lambda s, d: B.run_lengths(A.text_bytes(s, d)),
          RUNS + " SELECT doc_id, byte, length, count(*) AS n, min(start) AS first FROM r GROUP BY ALL", "text_bytes")
 register(
     "cod01_run_length_size",
-    lambda s, d: B.run_length_size(B.runs(A.text_bytes(s, d)), B.least_common(hist(s, d))),
+    lambda s, d: B.run_length_size(A.text_bytes(s, d)),
     HIST + RUNS + """, m AS (SELECT doc_id, arg_min(byte, n * 256 + byte) AS marker FROM h GROUP BY doc_id)
     SELECT doc_id, CAST(1 + sum(CASE WHEN length <= 3 THEN CASE WHEN byte = marker THEN 2 ELSE length END WHEN length > 128 THEN 4 ELSE 3 END) AS BIGINT) AS size FROM r JOIN m USING (doc_id) GROUP BY doc_id""",
     "text_bytes",
@@ -182,11 +200,11 @@ register(
 RICE = """, n AS (SELECT *, CASE WHEN byte = 0 THEN 0 ELSE length(bin(byte)) END AS nbits FROM text_bytes),
     k0 AS (SELECT doc_id, greatest(1, (sum(nbits) + count(*) // 2) // count(*)) AS k0 FROM n WHERE pos < 16 GROUP BY doc_id),
     k AS (SELECT n.*, CAST(CASE WHEN pos < 16 THEN k0 ELSE (sum(nbits) OVER (PARTITION BY n.doc_id ORDER BY pos ROWS BETWEEN 16 PRECEDING AND 1 PRECEDING) + 8) // 16 END AS INT) AS k FROM n JOIN k0 USING (doc_id))"""
-register("win09_rice_k", lambda s, d: B.rice_parameters(A.text_bytes(s, d)).groupBy("doc_id").agg(F.sum("k").alias("k"), F.sum("nbits").alias("nbits")),
+register("win09_rice_k", lambda s, d: B.rice_code(A.text_bytes(s, d)).select("doc_id", "k", "nbits"),
          RICE + " SELECT doc_id, CAST(sum(k) AS BIGINT) AS k, CAST(sum(nbits) AS BIGINT) AS nbits FROM k GROUP BY doc_id", "text_bytes")
 register(
     "cod04_rice_bits",
-    lambda s, d: B.rice_bits(B.rice_parameters(A.text_bytes(s, d))),
+    lambda s, d: B.rice_code(A.text_bytes(s, d)).select("doc_id", "bits"),
     RICE + """, q AS (SELECT doc_id, k, byte >> k AS q FROM k)
     SELECT doc_id, CAST(8 + sum(k + CASE WHEN q < 8 THEN q + 1 WHEN q = 8 THEN 9 ELSE 8 + length(bin(q - 8)) + 1 + length(bin(q - 8)) - 1 END) AS BIGINT) AS bits FROM q GROUP BY doc_id""",
     "text_bytes",
@@ -233,7 +251,7 @@ def _split(s, d):
 register("scl13_split_integer", _split,
          """SELECT CAST(i AS INT) AS n, CAST(b AS INT) AS bits, CAST(CASE WHEN i = 0 THEN 0 ELSE 2 * abs(i) - 2 ** b + CASE WHEN i < 0 THEN 1 ELSE 0 END END AS INT) AS data, CAST(i AS INT) AS back
     FROM (SELECT i, CASE WHEN i = 0 THEN 0 ELSE length(bin(abs(i))) END AS b FROM range(-2000, 2001) t(i))""")
-register("scl14_buffer_crc", lambda s, d: A.text_bytes(s, d).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "byte"))), lambda x: x["byte"]).alias("b")).select("doc_id", scalar.buffer_crc(F.col("b")).alias("crc")))
+register("scl14_buffer_crc", lambda s, d: A.text_bytes(s, d).select("doc_id", scalar.buffer_crc(B.values("data")).alias("crc")))
 register("scl15_crc32", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.crc32("text").alias("crc")))
 register("scl17_variable_size", lambda s, d: s.range(0, 300000, 37).select(F.col("id").alias("n"), scalar.variable_size(F.col("id")).alias("code")),
          """SELECT i AS n, CASE WHEN i < 128 THEN lpad(hex(i), 2, '0') WHEN i < 16384 THEN hex(i // 128 + 128) || lpad(hex(i % 128), 2, '0')

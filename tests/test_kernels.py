@@ -1,7 +1,9 @@
 """Kernels and expressions against worked examples, brute force and round trips."""
 
+import itertools
 import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -10,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gridloom.functions import scalar
+from gridloom.operators import bytes as strings
 from gridloom.operators import codecs, components, distance, marching, match, raster, signal, stencil, trace
 from gridloom.sources import readers, writers
 
@@ -148,6 +151,59 @@ def test_peaks():
     assert signal.layers_by_drop([1.0, 0.9, 0.5, 0.45, 0.1], 0.3, 2) == [2, 4]
 
 
+def zigzag(v, delta, up):
+    """Maxima of the zigzag from its definition: a leg ends at its first extremum once a later sample is more than delta away from it."""
+    out, at = [], 0
+    while True:
+        sign = 1 if up else -1
+        end = next((i for i in range(at, len(v)) if sign * v[i] < max(sign * x for x in v[at : i + 1]) - delta), None)
+        if end is None:
+            return out
+        leg = [sign * x for x in v[at : end + 1]]
+        at += leg.index(max(leg))
+        out += [at] if up else []
+        up = not up
+
+
+@given(v=st.lists(st.integers(0, 12), max_size=200), delta=st.sampled_from([0.0, 0.5, 1.0, 3.0, 7.5]), up=st.booleans())
+@settings(max_examples=300, deadline=None)
+def test_peaks_are_the_maxima_of_a_zigzag(v, delta, up):
+    assert signal.peaks(v, delta, up) == zigzag(v, delta, up)
+    assert signal.peaks(v * 7, delta, up) == zigzag(v * 7, delta, up)
+
+
+@given(data=st.binary(max_size=120), longest=st.integers(1, 9))
+@settings(max_examples=150, deadline=None)
+def test_runs_and_rice_words(data, longest):
+    data = bytes(b % 3 for b in data)
+    want, at = [], 0
+    for byte, group in itertools.groupby(data):
+        n = len(list(group))
+        while n:
+            want.append((at, byte, min(n, longest)))
+            at, n = at + min(n, longest), n - min(n, longest)
+    a = np.frombuffer(data, dtype=np.uint8)
+    assert list(zip(*(x.tolist() for x in strings.run_table(a, longest)), strict=True)) == want
+    nbits, k = strings.rice_words(a, 4)
+    bits = [b.bit_length() for b in data]
+    start = max(1, (sum(bits[:4]) + min(4, len(data)) // 2) // max(1, min(4, len(data))))
+    assert nbits.tolist() == bits and k.tolist() == [start if i < 4 else (sum(bits[i - 4 : i]) + 2) // 4 for i in range(len(data))]
+
+
+def test_byte_strings(spark):
+    rows = [(1, bytearray(b"aaab\x00")), (2, bytearray(b"")), (3, None), (4, bytearray(range(256)) * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, data binary")
+    hist = {}
+    for r in strings.histogram(df).collect():
+        hist.setdefault(r.doc_id, {})[r.byte] = r.n
+    assert all(len(h) == 256 and h == {b: bytes(d or b"").count(b) for b in range(256)} for (_, d), h in zip(rows, [hist[i] for i in (1, 2, 3, 4)], strict=True))
+    assert {(r.doc_id, r.start, r.byte, r.length) for r in strings.runs(df).filter("doc_id < 4").collect()} == {(1, 0, 97, 3), (1, 3, 98, 1), (1, 4, 0, 1)}
+    assert {r.doc_id: r.byte for r in strings.least_common(df).collect()} == {1: 1, 2: 0, 3: 0, 4: 0}
+    assert {r.doc_id: r.adler for r in strings.adler32(df).collect()} == {i: zlib.adler32(bytes(d or b"")) for i, d in rows}
+    assert abs({r.doc_id: r.entropy for r in strings.entropy(df).collect()}[4] - 8) < 1e-9
+    assert strings.rice_parameters(df).count() == 5 + 768
+
+
 @pytest.mark.parametrize("name", sorted(codecs.CODECS))
 @given(data=st.binary(max_size=300))
 @settings(max_examples=25, deadline=None)
