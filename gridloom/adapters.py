@@ -39,6 +39,13 @@ def event_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dense(counts, 24, 30)
 
 
+def event_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event images as slices of one volume, in order of their names."""
+    e = event_raster(spark, sf_dir)
+    slices = e.groupBy().agg(F.array_sort(F.collect_set("image_id")).alias("names"))  # one name per event type
+    return e.crossJoin(F.broadcast(slices)).select(F.lit("events").alias("image_id"), "x", "y", (F.array_position("names", F.col("image_id")) - 1).cast("int").alias("z"), "v")
+
+
 def embed_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images of 64 vectors as rows of 64 gray values; the last image may have fewer rows."""
     e = read_table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("x", "e"))
@@ -91,6 +98,8 @@ SQL = {
         FROM (SELECT DISTINCT event_type AS image_id FROM events), range(24) t(a), range(30) u(b)) g
   LEFT JOIN (SELECT event_type AS image_id, hour(ts) AS x, day(ts) - 1 AS y, count(*) AS n FROM events GROUP BY ALL) c
   ON c.image_id = g.image_id AND c.x = g.x AND c.y = g.y""",
+    "event_volume": """
+  SELECT 'events' AS image_id, x, y, CAST(dense_rank() OVER (ORDER BY image_id) - 1 AS INT) AS z, v FROM event_raster""",
     "embed_raster": """
   SELECT CAST(vec_id // 64 AS VARCHAR) AS image_id, CAST(i - 1 AS INT) AS x, CAST(vec_id % 64 AS INT) AS y,
          floor((CAST(embedding[i] AS DOUBLE) + 1.0::DOUBLE) * 127.5::DOUBLE) AS v

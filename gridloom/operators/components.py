@@ -50,11 +50,11 @@ def to_array(pdf: pd.DataFrame, value: str = "v", fill: float = 0.0) -> np.ndarr
     return out
 
 
-def label(df: DataFrame, eight: bool = True) -> DataFrame:
-    """Adds component: (image_id, x, y, v, component) of dense rasters, equal values joined."""
+def label(df: DataFrame, eight: bool = True, same: Callable[[np.ndarray, np.ndarray], np.ndarray] = np.equal) -> DataFrame:
+    """Adds component: (image_id, x, y, v, component) of dense rasters; neighbours are joined where ``same`` (of two arrays of values, symmetric) holds."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.assign(component=label_array(to_array(pdf), eight)[pdf["y"], pdf["x"]])
+        return pdf.assign(component=label_array(to_array(pdf), eight, same)[pdf["y"], pdf["x"]])
 
     return df.select("image_id", "x", "y", "v").groupBy("image_id").applyInPandas(run, "image_id string, x int, y int, v double, component int")
 
@@ -134,3 +134,9 @@ def seed_component(labelled: DataFrame, seeds: DataFrame) -> DataFrame:
     """Pixels of the components that hold the seeds (image_id, x, y)."""
     wanted = labelled.join(seeds.select("image_id", "x", "y"), ["image_id", "x", "y"], "left_semi").select("image_id", "component").distinct()
     return labelled.join(wanted, ["image_id", "component"], "left_semi")
+
+
+def seed_points(labelled: DataFrame, seeds: DataFrame) -> DataFrame:
+    """What a flood from the seeds reaches as one list per image: image_id, points (x, y in rows)."""
+    points = F.transform(F.array_sort(F.collect_list(F.struct("y", "x"))), lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y")))
+    return seed_component(labelled, seeds).groupBy("image_id").agg(points.alias("points"))

@@ -50,7 +50,7 @@ def scale(df: DataFrame, f: float) -> DataFrame:
 
 
 def statistics(df: DataFrame) -> DataFrame:
-    """n, lowest, highest (below the infinite) and mean per image; images of fewer than two pixels give zeros."""
+    """n, lowest, highest (below the infinite) and mean per image or volume; those of fewer than two pixels give zeros."""
     v, one = F.col("v"), F.count("*") < 2
     real = F.max(F.when(v < scalar.INFINITE / 2, v))
     return df.groupBy("image_id").agg(
@@ -149,10 +149,11 @@ def snap_levels(df: DataFrame, selected: DataFrame) -> DataFrame:
 
 
 def pack(df: DataFrame) -> DataFrame:
-    """One row per image: nx, ny and the values row by row."""
-    return df.groupBy("image_id").agg(
-        (F.max("x") + 1).alias("nx"), (F.max("y") + 1).alias("ny"), F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "v"))), lambda s: s["v"]).alias("data")
-    )
+    """One row per image or volume (rows with z): nx, ny, nz and the values row by row, slice by slice."""
+    axes = [c for c in ("z", "y", "x") if c in df.columns]
+    nz = F.max("z") + 1 if "z" in axes else F.lit(1)
+    values = F.transform(F.array_sort(F.collect_list(F.struct(*axes, "v"))), lambda s: s["v"])
+    return df.groupBy("image_id").agg((F.max("x") + 1).alias("nx"), (F.max("y") + 1).alias("ny"), nz.cast("int").alias("nz"), values.alias("data"))
 
 
 def unpack(df: DataFrame) -> DataFrame:

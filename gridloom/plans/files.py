@@ -31,6 +31,11 @@ register("src07_vtk", lambda s, d: I.decode_images(files(O.to_vtk(A.part_raster(
 register("src08_ascii", lambda s, d: I.decode_images(files(O.to_ascii(A.event_raster(s, d)))), SAME.format("event_raster"), "event_raster")
 register("src18_png", lambda s, d: I.decode_images(files(O.to_png(A.embed_raster(s, d)))), SAME.format("embed_raster"), "embed_raster")
 register("src16_volume", lambda s, d: I.decode_volumes(files(O.to_ascii(A.event_raster(s, d)))), " SELECT image_id, x, y, 0 AS z, v FROM event_raster", "event_raster")
+VOLUME = " SELECT image_id, x, y, z, v FROM event_volume"
+register("src16_volume_slices", lambda s, d: I.decode_volumes(files(O.to_ascii(A.event_volume(s, d)))), VOLUME, "event_raster event_volume")
+register("snk16_volume_vtk", lambda s, d: I.decode_volumes(files(O.to_vtk(A.event_volume(s, d)))), VOLUME, "event_raster event_volume")
+register("snk16_slice_ppm", lambda s, d: I.decode_rgb(files(O.slice_to_ppm(A.event_volume(s, d), "z", 2))).groupBy("image_id").agg(F.count("*").alias("n"), F.max("x").alias("x"), F.max("y").alias("y")),
+         " SELECT image_id, count(*) AS n, max(x) AS x, max(y) AS y FROM event_volume WHERE z = 2 GROUP BY image_id", "event_raster event_volume")
 register(
     "src03_sniff",
     lambda s, d: files(O.to_png(A.event_raster(s, d))).unionByName(files(O.to_pgm(A.event_raster(s, d)))).unionByName(files(O.to_vtk(A.event_raster(s, d)))).unionByName(files(O.to_ascii(A.event_raster(s, d))))

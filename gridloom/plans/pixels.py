@@ -40,6 +40,7 @@ register(
 register("prj07_fill_scale", lambda s, d: R.scale(R.fill(A.part_raster(s, d), 2.0), 1.5), f" SELECT {PX}, 3.0::DOUBLE AS v FROM part_raster", "part_raster")
 STATS = "image_id, count(*) AS n, min(v) AS lowest, max(v) AS highest, sum(v) / count(*) AS mean"
 register("agg01_statistics", lambda s, d: R.statistics(A.part_raster(s, d)), f" SELECT {STATS} FROM part_raster GROUP BY image_id", "part_raster")
+register("agg24_volume_statistics", lambda s, d: R.statistics(A.event_volume(s, d)), f" SELECT {STATS} FROM event_volume GROUP BY image_id", "event_raster event_volume")
 register(
     "prj08_normalise",
     lambda s, d: R.normalise(A.part_raster(s, d)),

@@ -70,6 +70,23 @@ register(
     EIGHT + " SELECT l.image_id, l.x, l.y FROM l JOIN l q ON q.image_id = l.image_id AND q.component = l.component AND q.x = 5 AND q.y = 7",
     "event_raster",
 )
+register(
+    "grf11_flood_4",
+    lambda s, d: C.seed_component(C.label(binary(s, d), eight=False), A.event_raster(s, d).select("image_id", F.lit(5).alias("x"), F.lit(7).alias("y")).distinct()).select(*S.KEY),
+    FOUR + " SELECT l.image_id, l.x, l.y FROM l JOIN l q ON q.image_id = l.image_id AND q.component = l.component AND q.x = 5 AND q.y = 7",
+    "event_raster",
+)
+register(
+    "grf12_flood_points",
+    lambda s, d: C.seed_points(C.label(binary(s, d), eight=False), A.event_raster(s, d).select("image_id", F.lit(5).alias("x"), F.lit(7).alias("y")).distinct()).select(
+        "image_id", F.array_join(F.transform("points", lambda p: F.concat_ws(" ", p["x"], p["y"])), ",").alias("points")
+    ),
+    FOUR + " SELECT l.image_id, string_agg(l.x || ' ' || l.y, ',' ORDER BY l.y, l.x) AS points FROM l JOIN l q ON q.image_id = l.image_id AND q.component = l.component AND q.x = 5 AND q.y = 7 GROUP BY l.image_id",
+    "event_raster",
+)
+# neighbours whose values differ by one at most
+NEAR = FOUR.replace("CASE WHEN v >= 3 THEN 255.0 ELSE 0.0 END::DOUBLE AS v", "v").replace("q.v = p.v", "abs(q.v - p.v) <= 1")
+register("udf07_label_near", lambda s, d: C.label(A.event_raster(s, d), eight=False, same=lambda a, b: abs(a - b) <= 1), NEAR + " SELECT * FROM l", "event_raster")
 register(
     "agg07_highest_level",
     lambda s, d: R.layers(A.event_raster(s, d), [1, 3, 5]).filter("fg").groupBy("image_id", "x", "y").agg(F.max("level").alias("level")),
@@ -161,7 +178,7 @@ register(
     SELECT image_id, level, x, y, round(dt, 9) AS dt, round(sd, 9) AS skeleton_dt, round(CASE WHEN dt > 0 THEN least(1.0, dt / (dt + sd)) ELSE 0.0 END, 9) AS b FROM w""",
     "event_raster",
 )
-register("grf07_endpoints", lambda s, d: T.endpoints(A.embed_raster(s, d), 1.6, 32))
+register("grf07_endpoints", lambda s, d: T.endpoints(A.part_raster(s, d), 1.6, 1, 2))
 register("udf02_skeleton_corners", lambda s, d: T.skeleton_corners(A.part_raster(s, d), margin=2))
 
 # signals

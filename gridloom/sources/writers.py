@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.operators.raster import colour, normalise, pack, stretch
+from gridloom.operators.raster import colour, normalise, pack, slice_volume, stretch
 
 
 def _encoded(packed: DataFrame, make: Callable[[np.ndarray], bytes]) -> DataFrame:
@@ -81,15 +81,21 @@ def flag_colours(flags: DataFrame) -> DataFrame:
 
 
 def to_vtk(raster: DataFrame) -> DataFrame:
-    """Structured points as text, values row by row."""
+    """Structured points as text, values row by row (and slice by slice, for volumes)."""
     rows = F.transform("data", lambda v: v.cast("string"))
-    head = F.format_string("# vtk DataFile Version 3.0\ngridloom\nASCII\nDATASET STRUCTURED_POINTS\nDIMENSIONS %d %d 1\nORIGIN 0 0 0\nSPACING 1 1 1\nPOINT_DATA %d\nSCALARS v float 1\nLOOKUP_TABLE default\n", F.col("nx"), F.col("ny"), F.size("data"))
+    head = F.format_string("# vtk DataFile Version 3.0\ngridloom\nASCII\nDATASET STRUCTURED_POINTS\nDIMENSIONS %d %d %d\nORIGIN 0 0 0\nSPACING 1 1 1\nPOINT_DATA %d\nSCALARS v float 1\nLOOKUP_TABLE default\n", F.col("nx"), F.col("ny"), F.col("nz"), F.size("data"))
     return pack(raster).select("image_id", F.encode(F.concat(head, F.array_join(rows, " "), F.lit("\n")), "UTF-8").alias("content"))
 
 
+def slice_to_ppm(volume: DataFrame, axis: str, at: int) -> DataFrame:
+    """A volume's slice as a colour file on the rainbow map."""
+    return to_rainbow_ppm(slice_volume(volume, axis, at))
+
+
 def to_ascii(raster: DataFrame) -> DataFrame:
+    """dimX dimY dimZ, then the values, of rasters and volumes."""
     rows = F.array_join(F.transform("data", lambda v: v.cast("string")), " ")
-    return pack(raster).select("image_id", F.encode(F.concat_ws(" ", "nx", "ny", F.lit(1), rows), "UTF-8").alias("content"))
+    return pack(raster).select("image_id", F.encode(F.concat_ws(" ", "nx", "ny", "nz", rows), "UTF-8").alias("content"))
 
 
 def homography_text(h: DataFrame) -> DataFrame:
