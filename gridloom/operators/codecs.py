@@ -9,13 +9,15 @@ import heapq
 import struct
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.operators.arithmetic import AdaptiveSymbols, Decoder, Encoder, decode_bits, decode_symbols, encode_bits, encode_symbols
+
 
 # run lengths
 def rle_encode(data: bytes) -> bytes:
@@ -266,92 +268,23 @@ def lz_decode(code: bytes) -> bytes:
     return bytes(out)
 
 
-# adaptive arithmetic coding; the model is chosen by the previous byte
-class _Model:
-    def __init__(self) -> None:
-        self.n = [1] * 256
-        self.total = 256
-
-    def span(self, s: int) -> tuple[int, int]:
-        low = sum(self.n[:s])
-        return low, low + self.n[s]
-
-    def add(self, s: int) -> None:
-        self.n[s] += 32
-        self.total += 32
-        if self.total > 1 << 16:
-            self.n = [(v + 1) // 2 for v in self.n]
-            self.total = sum(self.n)
-
-
-TOP, HALF, QUARTER = (1 << 32) - 1, 1 << 31, 1 << 30
-
-
 def arithmetic_encode(data: bytes, models: int = 1) -> bytes:
-    """32-bit interval coding with ``models`` adaptive byte models (a power of two) picked by the byte before; length and CRC-32 go first."""
-    table = [_Model() for _ in range(models)]
-    low, high, pending, before, bits = 0, TOP, 0, 0, []
-
-    def emit(bit: int) -> None:
-        nonlocal pending
-        bits.append(str(bit) + str(1 - bit) * pending)
-        pending = 0
-
+    """Interval coding with ``models`` adaptive byte models (a power of two) picked by the byte before; length and CRC-32 go first."""
+    table = [AdaptiveSymbols(256) for _ in range(models)]
+    coder, before = Encoder(), 0
     for s in data:
-        m = table[before & models - 1]
-        a, b = m.span(s)
-        width = high - low + 1
-        low, high = low + width * a // m.total, low + width * b // m.total - 1
-        while True:
-            if high < HALF:
-                emit(0)
-            elif low >= HALF:
-                emit(1)
-                low, high = low - HALF, high - HALF
-            elif low >= QUARTER and high < HALF + QUARTER:
-                pending += 1
-                low, high = low - QUARTER, high - QUARTER
-            else:
-                break
-            low, high = low << 1, high << 1 | 1
-        m.add(s)
+        coder.symbol(table[before & models - 1], s)
         before = s
-    pending += 1
-    emit(int(low >= QUARTER))
-    return struct.pack(">IIB", len(data), zlib.crc32(data), models) + _pack(bits)
+    return struct.pack(">IIB", len(data), zlib.crc32(data), models) + coder.finish()
 
 
 def arithmetic_decode(code: bytes) -> bytes:
     n, crc, models = struct.unpack(">IIB", code[:9])
-    bits = iter(_unpack(code[9:]))
-    table = [_Model() for _ in range(models)]
-    take = lambda: int(next(bits, "0"))
-    low, high, value = 0, TOP, 0
-    for _ in range(32):
-        value = value << 1 | take()
-    out, before = bytearray(), 0
+    table = [AdaptiveSymbols(256) for _ in range(models)]
+    coder, out, before = Decoder(code[9:]), bytearray(), 0
     for _ in range(n):
-        m = table[before & models - 1]
-        width = high - low + 1
-        at = ((value - low + 1) * m.total - 1) // width
-        run, s = 0, 0
-        while run + m.n[s] <= at:
-            run += m.n[s]
-            s += 1
-        low, high = low + width * run // m.total, low + width * (run + m.n[s]) // m.total - 1
-        while True:
-            if high < HALF:
-                shift = 0
-            elif low >= HALF:
-                shift = HALF
-            elif low >= QUARTER and high < HALF + QUARTER:
-                shift = QUARTER
-            else:
-                break
-            low, high, value = (low - shift) << 1, (high - shift) << 1 | 1, (value - shift) << 1 | take()
-        m.add(s)
-        out.append(s)
-        before = s
+        before = coder.symbol(table[before & models - 1])
+        out.append(before)
     if zlib.crc32(out) != crc:
         raise ValueError("checksum of the decoded bytes is wrong")
     return bytes(out)
@@ -393,6 +326,74 @@ def wavelet_inverse(bands: list[np.ndarray]) -> np.ndarray:
     return low
 
 
+# How much of the context stays, and what a coefficient's bit length adds to it.
+STAYS, ADDS = 0.9, 0.2
+CONTEXTS = 16
+
+
+def contexts(sizes: Sequence[int]) -> list[float]:
+    """The context before each of a sequence of bit lengths: a running mean that fades by STAYS and takes ADDS of each."""
+    out, context = [], 0.0
+    for n in sizes:
+        out.append(context)
+        context = STAYS * context + ADDS * n
+    return out
+
+
+def _wave_parts(data: bytes) -> tuple[int, np.ndarray] | None:
+    """Channels and samples of a 16-bit RIFF file with a 44-byte header; None for anything else."""
+    if len(data) < 44 or data[:4] != b"RIFF" or data[8:12] != b"WAVE" or struct.unpack_from("<H", data, 34)[0] != 16:
+        return None
+    channels = struct.unpack_from("<H", data, 22)[0]
+    if not channels:
+        return None
+    frames = (len(data) - 44) // (2 * channels)
+    return channels, np.frombuffer(data, "<i2", frames * channels, 44).astype(np.int64).reshape(frames, channels)
+
+
+def wav_encode(data: bytes) -> bytes:
+    """A 16-bit wave file by channel: wavelet coefficients as bit length (an adaptive model picked by the fading mean of lengths before), sign and raw bits. Header and odd ends, and files of another kind, as plain bytes."""
+    parts = _wave_parts(data)
+    if parts is None:
+        return b"\0" + arithmetic_encode(data)
+    channels, samples = parts
+    end = 44 + samples.size * 2
+    coder = Encoder()
+    for c in range(channels):
+        models, context = [AdaptiveSymbols(40) for _ in range(CONTEXTS)], 0.0
+        for v in np.concatenate(wavelet_forward(samples[:, c])).tolist():
+            n = abs(v).bit_length()
+            coder.symbol(models[min(CONTEXTS - 1, int(context))], n)
+            if n:
+                coder.raw(v < 0, 1)
+                coder.raw(abs(v), n - 1)  # the highest bit is known
+            context = STAYS * context + ADDS * n
+    rest = data[end:]
+    return b"\1" + data[:44] + struct.pack(">II", len(samples), len(rest)) + rest + coder.finish()
+
+
+def wav_decode(code: bytes) -> bytes:
+    if code[:1] == b"\0":
+        return arithmetic_decode(code[1:])
+    header = code[1:45]
+    frames, n_rest = struct.unpack_from(">II", code, 45)
+    channels = struct.unpack_from("<H", header, 22)[0]
+    coder = Decoder(code[53 + n_rest :])
+    samples = np.zeros((frames, channels), dtype=np.int64)
+    for c in range(channels):
+        models, context, found = [AdaptiveSymbols(40) for _ in range(CONTEXTS)], 0.0, []
+        for _ in range(frames):
+            n = coder.symbol(models[min(CONTEXTS - 1, int(context))])
+            negative = coder.raw(1) if n else 0
+            size = coder.raw(n - 1) | 1 << n - 1 if n else 0
+            found.append(-size if negative else size)
+            context = STAYS * context + ADDS * n
+        shapes = [len(b) for b in wavelet_forward(np.zeros(frames))]
+        bands = np.split(np.array(found, dtype=np.int64), np.cumsum(shapes)[:-1])
+        samples[:, c] = wavelet_inverse(bands)
+    return header + samples.astype("<i2").tobytes() + code[53 : 53 + n_rest]
+
+
 CODECS: dict[str, tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]] = {
     "rle": (rle_encode, rle_decode),
     "huffman": (huffman_encode, _prefix_decode),
@@ -401,6 +402,10 @@ CODECS: dict[str, tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]] = {
     "lz": (lambda d: lz_encode(d, fast=False), lz_decode),
     "lz_fast": (lz_encode, lz_decode),
     "arithmetic": (arithmetic_encode, arithmetic_decode),
+    "arithmetic_static": (encode_symbols, decode_symbols),
+    "arithmetic_bits": (encode_bits, decode_bits),
+    "arithmetic_static_bits": (lambda d: encode_bits(d, adaptive=False), lambda c: decode_bits(c, adaptive=False)),
+    "wav": (wav_encode, wav_decode),
     "arithmetic_context": (lambda d: arithmetic_encode(d, 16), arithmetic_decode),
     "deflate": (lambda d: zlib.compress(d, wbits=-15), lambda d: zlib.decompress(d, wbits=-15)),
     "zlib": (zlib.compress, zlib.decompress),

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.operators.codecs import contexts
+
 
 def persistence(v: Sequence[float]) -> tuple[list[tuple[int, int, float]], int]:
     """Pairs (index of the minimum, index of the maximum, persistence) by persistence, then minimum; and the global minimum's index.
@@ -149,3 +151,14 @@ def choose_layers(upper: DataFrame, count: int, gap: int = 5, method: str = "cum
         return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "level": np.array(found, dtype=np.int32)})
 
     return upper.select("image_id", "level", "up", "relative").groupBy("image_id").applyInPandas(run, "image_id string, level int")
+
+
+def exponential_context(signal: DataFrame) -> DataFrame:
+    """series_id, idx, context: before each sample the fading mean of the bit lengths of the whole parts so far."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx")
+        sizes = [abs(int(v)).bit_length() for v in pdf["v"]]
+        return pd.DataFrame({"series_id": pdf["series_id"], "idx": pdf["idx"], "context": contexts(sizes)})
+
+    return signal.groupBy("series_id").applyInPandas(run, "series_id string, idx int, context double")

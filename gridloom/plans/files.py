@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import struct
 from collections.abc import Iterator
 
 import pandas as pd
@@ -104,8 +105,24 @@ def round_trip(codec):
     return run
 
 
-for codec, number in (("rle", "01"), ("huffman", "02"), ("shannon_fano", "03"), ("rice", "04"), ("lz_fast", "06"), ("arithmetic", "07"), ("arithmetic_context", "09"), ("deflate", "12"), ("zlib", "13")):
+for codec, number in (("rle", "01"), ("huffman", "02"), ("shannon_fano", "03"), ("rice", "04"), ("lz_fast", "06"), ("arithmetic", "07"), ("arithmetic_static", "07"), ("arithmetic_bits", "07"), ("arithmetic_context", "09"), ("deflate", "12"), ("zlib", "13")):
     register(f"cod{number}_{codec}_round_trip", round_trip(codec), "SELECT doc_id, strlen(text) AS n_bytes, true AS same FROM documents")
+
+
+def waves(s, d):
+    """Each signal as a mono 16-bit wave file, through the coder and back."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = pdf.sort_values("idx")["v"].to_numpy().astype("<i2").tobytes()
+        head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(v), b"WAVE", b"fmt ", 16, 1, 1, 8000, 16000, 2, 16, b"data", len(v))
+        return pd.DataFrame({"series_id": pdf["series_id"].iloc[:1], "b": [head + v]})
+
+    made = A.signal(s, d).groupBy("series_id").applyInPandas(run, "series_id string, b binary")
+    back = C.decode(C.encode(made, "b", "wav"), "code", "wav")
+    return back.select("series_id", F.octet_length("b").cast("long").alias("n_bytes"), (F.col("b") == F.col("data")).alias("same"))
+
+
+register("cod11_wav_round_trip", waves, " SELECT series_id, 44 + 2 * count(*) AS n_bytes, true AS same FROM signal GROUP BY series_id", "signal")
 register("dst10_marching", lambda s, d: M.distances(A.event_raster(s, d), 3).select("image_id", "x", "y", F.round("dt", 6).alias("dt")))
 register("dst11_marching_origins", lambda s, d: M.distances(A.event_raster(s, d), 3, "one_point"))
 register("dst16_skeleton_distance", lambda s, d: M.skeleton_distance(A.event_raster(s, d), A.event_raster(s, d).filter("v > 5"), 3))

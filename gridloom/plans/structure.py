@@ -192,6 +192,16 @@ register("win02_peaks_of_count", lambda s, d: G.detect_peaks(A.signal(s, d), cou
 register("win06_layers_of_count", lambda s, d: G.choose_layers(R.upper_levels(R.histogram(A.embed_raster(s, d))), 6))
 register("win07_layers_by_maxima", lambda s, d: G.choose_layers(R.upper_levels(R.histogram(A.embed_raster(s, d))), 6, method="maxima"))
 
+register(
+    "win11_context",
+    lambda s, d: G.exponential_context(A.signal(s, d)).withColumn("context", F.round("context", 6)),
+    """, RECURSIVE n AS (SELECT series_id, idx, row_number() OVER (PARTITION BY series_id ORDER BY idx) AS rn, CASE WHEN v < 1 THEN 0 ELSE length(bin(CAST(floor(v) AS BIGINT))) END AS bits FROM signal),
+    c AS (SELECT series_id, rn, idx, bits, 0.0::DOUBLE AS ctx FROM n WHERE rn = 1
+      UNION ALL SELECT n.series_id, n.rn, n.idx, n.bits, 0.9::DOUBLE * c.ctx + 0.2::DOUBLE * c.bits FROM c JOIN n ON n.series_id = c.series_id AND n.rn = c.rn + 1)
+    SELECT series_id, idx, round(ctx, 6) AS context FROM c""",
+    "signal",
+)
+
 # bytes
 HIST = ", h AS (SELECT g.doc_id, g.byte, count(b.byte) AS n FROM (SELECT doc_id, CAST(r AS INT) AS byte FROM (SELECT DISTINCT doc_id FROM text_bytes), range(256) t(r)) g LEFT JOIN text_bytes b ON b.doc_id = g.doc_id AND b.byte = g.byte GROUP BY ALL)"
 register("agg20_byte_histogram", lambda s, d: B.histogram(A.text_bytes(s, d)), HIST + " SELECT * FROM h", "text_bytes")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import scalar
 from gridloom.operators import bytes as strings
-from gridloom.operators import codecs, components, distance, marching, match, raster, signal, stencil, trace
+from gridloom.operators import arithmetic, codecs, components, distance, marching, match, raster, signal, stencil, trace
 from gridloom.sources import readers, writers
 
 
@@ -213,6 +213,45 @@ def test_codecs_round_trip(name, data):
         assert decode(encode(d)) == d
 
 
+@given(symbols=st.lists(st.integers(0, 6), max_size=300), bits=st.lists(st.tuples(st.integers(0, 2**40), st.integers(0, 40)), max_size=40))
+@settings(max_examples=60, deadline=None)
+def test_arithmetic_models_and_raw_bits(symbols, bits):
+    models = lambda: [arithmetic.StaticSymbols([5, 1, 0.001, 2, 0, 1, 1]), arithmetic.AdaptiveSymbols(7, 900), arithmetic.StaticBit(0.99), arithmetic.AdaptiveBit()]
+    coder = arithmetic.Encoder()
+    for s in symbols:
+        for m in (used := models())[:2]:
+            coder.symbol(m, s)
+    used = models()
+    for s in symbols:
+        coder.symbol(used[1], s)
+        coder.symbol(used[2], s & 1)
+        coder.symbol(used[3], s & 1)
+    for value, n in bits:
+        coder.raw(value, n)
+    back = arithmetic.Decoder(coder.finish())
+    for s in symbols:
+        for m in models()[:2]:
+            assert back.symbol(m) == s
+    used = models()
+    for s in symbols:
+        assert (back.symbol(used[1]), back.symbol(used[2]), back.symbol(used[3])) == (s, s & 1, s & 1)
+    assert [back.raw(n) for _, n in bits] == [value & (1 << n) - 1 for value, n in bits]
+
+
+@pytest.mark.parametrize("channels", [1, 2, 3])
+def test_wave_files_round_trip(channels):
+    rng = np.random.default_rng(channels)
+    for frames in (0, 1, 3, 700):
+        wave = np.clip(9000 * np.sin(np.arange(frames)[:, None] / (5 + np.arange(channels))) + rng.normal(0, 40, (frames, channels)), -32768, 32767).astype("<i2")
+        if frames > 5:
+            wave[:4] = [-32768], [32767], [-32768], [0]
+        head = b"RIFF" + (36 + wave.nbytes).to_bytes(4, "little") + b"WAVEfmt " + bytes([16, 0, 0, 0, 1, 0]) + channels.to_bytes(2, "little") + bytes(8) + (2 * channels).to_bytes(2, "little") + bytes([16, 0]) + b"data" + wave.nbytes.to_bytes(4, "little")
+        data = head + wave.tobytes() + b"x" * (channels * 2 - 1)
+        code = codecs.wav_encode(data)
+        assert len(head) == 44 and code[0] == 1 and codecs.wav_decode(code) == data
+        assert frames < 700 or len(code) < 0.8 * len(data)
+
+
 @given(st.lists(st.integers(-5000, 5000), max_size=200))
 @settings(max_examples=50, deadline=None)
 def test_wavelet_is_reversible(x):
