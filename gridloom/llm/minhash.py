@@ -50,7 +50,8 @@ ROWS = 4
 WORDS = 5
 LEAST_THRESHOLD = 40
 LARGE_BUCKET = 64
-COMMON = 32
+ORDER_BUCKETS = 4096
+BROADCAST_HEADS = 1000
 PIECE = 1024
 
 
@@ -163,15 +164,19 @@ def _beyond_pivot(members: DataFrame, sets: DataFrame, threshold: int) -> DataFr
     rest = F.concat(F.array_except("set", "set_h"), F.array_except("set_h", "set"))
     d = members.join(sets, "id").join(heads, "head").select("head", "id", "component", F.size("set").cast("long").alias("n"), rest.alias("rest"))
     d = durable(d.repartition("head", "id"))
-    # one order for all of a head's members: first what few of them have, by hash, then what COMMON or more have, rarest first
-    each = d.select("head", "id", F.explode("rest").alias("shingle"))
-    counts = durable(each.groupBy("head", "shingle").agg(F.count("*").alias("df")).filter(F.col("df") >= COMMON))
-    common = by_ids(each, counts, "inner", ["head", "shingle"]).groupBy("head", "id").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("common"))
-    d = d.join(common, ["head", "id"], "left").withColumn("common", F.coalesce(F.transform("common", lambda s: s["shingle"]), F.expr("cast(array() as array<bigint>)")))
-    order = F.concat(F.array_except("rest", "common"), "common")
+    # one order for all of a head's members, rare shingles first: by how many members have a shingle of the same hash bucket, a row of
+    # ORDER_BUCKETS counts for each head, however many shingles there are (any order is exact; collisions only make it less telling)
+    bucket = lambda x: F.pmod(x, F.lit(ORDER_BUCKETS)).cast("int")
+    each = d.select("head", F.explode("rest").alias("shingle")).groupBy("head", bucket(F.col("shingle")).alias("bucket")).agg(F.count("*").alias("df"))
+    grid = d.select("head").distinct().select("head", F.explode(F.sequence(F.lit(0), F.lit(ORDER_BUCKETS - 1))).alias("bucket"), F.lit(0).cast("long").alias("df"))
+    counts = each.unionByName(grid).groupBy("head", "bucket").agg(F.sum("df").alias("df"))
+    counts = durable(counts.groupBy("head").agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "df"))), lambda s: s["df"]).alias("counts")))
+    order = F.array_sort(F.transform("rest", lambda x: F.struct(F.element_at("counts", bucket(x) + 1).alias("df"), x.alias("shingle"))))
     # no partner is larger than n * 100 / t, so no more than this many shingles may differ
     most = F.floor(F.col("n") * (100 - t) * (100 + t) / ((100 + t) * t)).cast("int")
-    d = d.select("head", "id", "component", "n", F.size("rest").cast("long").alias("size"), F.slice(order, 1, most + 1).alias("front")).repartition("head", "id")
+    front = F.transform(F.slice(order, 1, most + 1), lambda x: x["shingle"]).alias("front")
+    counts = F.broadcast(counts) if counts.count() <= BROADCAST_HEADS else counts  # 32 KB each; so a head of many members stays spread
+    d = d.join(counts, "head").select("head", "id", "component", "n", F.size("rest").cast("long").alias("size"), front).repartition("head", "id")
     front = durable(d.select("head", "id", "component", "n", "size", F.posexplode("front").alias("at", "shingle")))
     other = front.select("head", "shingle", *[F.col(c).alias(f"{c}2") for c in ("id", "component", "n", "size", "at")])
     differ = F.floor((F.col("n") + F.col("n2")) * (100 - t) / (100 + t))

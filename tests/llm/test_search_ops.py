@@ -283,7 +283,7 @@ def test_near_duplicates_odd_rows(spark):
 @pytest.mark.parametrize("large", [2, 10**6])
 def test_near_duplicates_alike_by_either_way(spark, monkeypatch, large):
     monkeypatch.setattr(minhash, "LARGE_BUCKET", large)
-    monkeypatch.setattr(minhash, "COMMON", 4)
+    monkeypatch.setattr(minhash, "ORDER_BUCKETS", 16)
     test_near_duplicates_against_brute_force(spark, 85)
 
 
