@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import scalar
 from gridloom.operators import bytes as strings
-from gridloom.operators import arithmetic, codecs, components, distance, marching, match, raster, signal, stencil, trace
+from gridloom.operators import arithmetic, codecs, components, distance, lanes, marching, match, raster, signal, stencil, trace
 from gridloom.sources import readers, writers
 
 
@@ -238,6 +239,51 @@ def test_arithmetic_models_and_raw_bits(symbols, bits):
     assert [back.raw(n) for _, n in bits] == [value & (1 << n) - 1 for value, n in bits]
 
 
+def many_strings(n, size):
+    rng = random.Random(size)
+    words = [bytes(rng.choices(range(97, 123), k=rng.randrange(2, 9))) for _ in range(300)]
+    return [b" ".join(rng.choices(words, k=rng.randrange(size // 3))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("codec", sorted(codecs.BATCHES))
+def test_strings_coded_together(codec, monkeypatch):
+    monkeypatch.setattr(lanes, "BYTES", 40_000)
+    encode, decode = codecs.CODECS[codec]
+    rng = random.Random(7)
+    odd = [b"", None, b"a", b"\0" * 6000, b"\xff" * 5000, bytes(range(256)) * 20, rng.randbytes(7000), b"ab" * 4000, b"a" * 3000 + b"b" * 3000]
+    data = odd * 2 + many_strings(60, 300) + [rng.randbytes(rng.randrange(40)) for _ in range(60)]
+    rng.shuffle(data)
+    codes = codecs.code_all(data, codec, 0)
+    assert codes == [None if b is None else encode(b) for b in data]
+    assert codecs.code_all(codes, codec, 1) == data
+    run, back, size, _ = codecs.BATCHES[codec]
+    pairs = sorted(((b, c) for b, c in zip(data, codes, strict=True) if b is not None), key=lambda p: -len(p[0]))
+    assert run([b for b, _ in pairs]) == [c for _, c in pairs]  # the longest too, in lanes
+    assert back([c for _, c in pairs]) == [b for b, _ in pairs] and all(size(c) == len(b) for b, c in pairs)
+    with_cut = [c and c[:-1] for c in codes]
+    try:
+        want = [None if c is None else decode(c) for c in with_cut]
+    except ValueError:
+        want = None
+    if want is None:
+        with pytest.raises(ValueError):
+            codecs.code_all(with_cut, codec, 1)
+    else:
+        assert codecs.code_all(with_cut, codec, 1) == want
+
+
+def cpu_seconds(codec, data):
+    codecs.code_all(data[:2], codec, 0)
+    began = time.process_time()
+    assert codecs.code_all(codecs.code_all(data, codec, 0), codec, 1) == data
+    return time.process_time() - began
+
+
+def test_many_strings_bit_by_bit_in_time():
+    data = many_strings(4000, 90)
+    assert cpu_seconds("arithmetic_bits", data) < 6e-6 * sum(map(len, data)) + 2  # one by one: 50e-6
+
+
 @pytest.mark.parametrize("channels", [1, 2, 3])
 def test_wave_files_round_trip(channels):
     rng = np.random.default_rng(channels)
