@@ -34,7 +34,7 @@ near_duplicates and kept by drop_near_duplicates.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import blank_separated, by_ids, shingle_hashes, text_key
 from gridloom.llm.components import components
-from gridloom.session import durable
+from gridloom.session import durable, kept_on_disk
 
 ROWS = 4
 WORDS = 5
@@ -181,17 +181,19 @@ def _beyond_pivot(members: DataFrame, sets: DataFrame, threshold: int) -> DataFr
     return met.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
 
 
-def links(reps: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
-    """Confirmed links between classes (id, least, n, d1, d2, sig): enough of them to connect all classes that any link connects."""
+def links(reps: DataFrame, docs: DataFrame, threshold: int, keep: Callable[[DataFrame], DataFrame] = durable) -> DataFrame:
+    """Confirmed links between classes (id, least, n, d1, d2, sig): enough of them to connect all classes that any link connects.
+
+    ``keep`` holds the tables that are read several times for as long as the result is needed."""
     rows = _buckets(reps, bands_for(threshold))
     heads = rows.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("id").alias("head")).filter("m > 1")
-    shared = durable(rows.join(heads, ["band", "key"]))
+    shared = keep(rows.join(heads, ["band", "key"]))
     needed = durable(reps.drop("sig").join(shared.select("id").distinct(), "id"))
     texts = by_ids(docs, needed.select(F.col("least").alias("doc_id")).distinct(), "left_semi")
     # of rows with one doc_id and several texts those of the class
-    sets = durable(by_ids(shingle_sets(texts), needed, "inner", ["least", "n", "d1", "d2"]).select("id", "set").dropDuplicates(["id"]))
+    sets = keep(by_ids(shingle_sets(texts), needed, "inner", ["least", "n", "d1", "d2"]).select("id", "set").dropDuplicates(["id"]))
     stars = shared.filter("id != head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    found = durable(_confirmed(_similar(stars, reps, threshold), sets, threshold))
+    found = keep(_confirmed(_similar(stars, reps, threshold), sets, threshold))
     first = components(found).withColumnRenamed("node", "id")
     labelled = shared.filter("m > 2").join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
     labelled = durable(labelled.select("band", "key", "m", "head", "id", "component"))
@@ -222,8 +224,9 @@ def labelled(docs: DataFrame, threshold: int) -> DataFrame:
     signed = durable(signatures(docs, bands_for(threshold)))
     classes = classes_of(signed)
     rows = signed.filter("n > 0").join(classes.withColumnRenamed("least", "doc_id"), ["doc_id", "n", "d1", "d2"])  # by the class's own doc_id, so a class of many copies is no hot key
-    reps = durable(rows.select("id", F.col("doc_id").alias("least"), "n", "d1", "d2", "sig").dropDuplicates(["id"]))
-    found = components(links(reps, docs, threshold))
+    with kept_on_disk() as keep:
+        reps = keep(rows.select("id", F.col("doc_id").alias("least"), "n", "d1", "d2", "sig").dropDuplicates(["id"]))
+        found = components(links(reps, docs, threshold, keep))
     # a component is called by the smallest doc_id of its classes
     of = classes.join(found.withColumnRenamed("node", "id"), "id").select("id", "component", "least")
     names = of.groupBy("component").agg(F.min("least").alias("name"))

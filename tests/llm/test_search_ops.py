@@ -287,6 +287,19 @@ def test_near_duplicates_alike_by_either_way(spark, monkeypatch, large):
     test_near_duplicates_against_brute_force(spark, 85)
 
 
+def test_near_duplicates_checkpoint_few_wide_tables(spark, monkeypatch):
+    """Signatures and sets are checkpointed once each at most (a file of a checkpoint costs a process), and what is kept instead is let go."""
+    wide, before = [], spark.sparkContext._jsc.getPersistentRDDs().size()
+    real = minhash.durable
+    monkeypatch.setattr(minhash, "durable", lambda df: wide.extend({"sig", "set", "key"} & set(df.columns)) or real(df))
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words[:59], str(i % 3)])) for i in range(12)] + [(50, "quite another text of seven words")]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()}
+    assert got == {i: 0 for i in range(12)} | {50: 50}
+    assert wide.count("sig") == 1 and "set" not in wide
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() <= before
+
+
 def test_near_duplicates_keep_different_texts_of_an_id(spark):
     rng = random.Random(12)
     a, b, c = (words(rng, 40) for _ in range(3))
