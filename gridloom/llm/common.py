@@ -29,12 +29,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
 BROADCAST_IDS = 1_000_000
 
 
-def by_ids(rows: DataFrame, ids: DataFrame, how: str, on: str | list[str] = "doc_id") -> DataFrame:
+def by_ids(rows: DataFrame, ids: DataFrame, how: str, on: str | list[str] = "doc_id", n: int | None = None) -> DataFrame:
     """``rows`` joined to ``ids``, a checkpointed table of fixed-width keys (numbers, digests): left_semi, left_anti or inner.
 
-    The ids are counted first: up to BROADCAST_IDS (of some 100 bytes at most) are broadcast, so that wide rows stay where
+    The ids are counted first, unless n is their number: up to BROADCAST_IDS (of some 100 bytes at most) are broadcast, so that wide rows stay where
     they are; more go through a shuffle join. Both give the same rows."""
-    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
+    return rows.join(F.broadcast(ids) if (ids.count() if n is None else n) <= BROADCAST_IDS else ids, on, how)
 
 
 def text_key(text: str = "text") -> Column:

@@ -9,10 +9,10 @@ from gridloom.session import durable
 
 
 def large_star(edges: DataFrame) -> DataFrame:
-    """Links each node's larger neighbours to the smallest node of its neighbourhood."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    """Links each node's larger neighbours to the smallest node of its neighbourhood (edges run from larger to smaller); rows may repeat."""
+    ends = F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("to")), F.struct(F.col("v").alias("node"), F.col("u").alias("to")))
+    least = edges.select(F.inline(ends)).groupBy("node").agg(F.least(F.min("to"), F.col("node")).alias("m"))
+    return edges.join(least.withColumnRenamed("node", "v"), "v").select("u", F.col("m").alias("v"))
 
 
 def small_star(edges: DataFrame) -> DataFrame:
@@ -24,19 +24,27 @@ def small_star(edges: DataFrame) -> DataFrame:
     )
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) of every node that has an edge; a component is its smallest node.
+def tangled(edges: DataFrame) -> bool:
+    """Whether any node has several edges to smaller nodes, or one and is itself such a smaller node."""
+    ends = F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("out")), F.struct(F.col("v").alias("node"), F.lit(0).alias("out")))
+    nodes = edges.select(F.inline(ends)).groupBy("node").agg(F.sum("out").alias("out"), F.count("*").alias("n"))
+    return nodes.filter("out > 1 OR (out > 0 AND n > out)").count() > 0
+
+
+def stars(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component) of every node that has an edge, but for the components' smallest nodes, which are what the components are called.
 
     Groups are reduced to minima before the shuffle and joined back by sort-merge joins, so a node with
-    very many edges is split by adaptive execution. Each round is checkpointed in the shared folder."""
+    very many edges is split by adaptive execution. Each round is checkpointed in the shared folder; edges that
+    are stars already need none."""
     u, v = F.greatest(a, b), F.least(a, b)
-    stars = durable(edges.filter(F.col(a) != F.col(b)).select(u.alias("u"), v.alias("v")).distinct())
-    seen = None
-    while True:
-        mark = stars.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")).first()
-        if mark["n"] == 0 or (mark["n"], mark["x"]) == seen:
-            break
-        seen = (mark["n"], mark["x"])
-        stars = durable(small_star(large_star(stars)))
-    nodes = stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    out = durable(edges.filter(F.col(a) != F.col(b)).select(u.alias("u"), v.alias("v")))
+    while tangled(out):
+        out = durable(small_star(large_star(out)))
+    return out.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component) of every node that has an edge; a component is its smallest node."""
+    nodes = stars(edges, a, b)
     return nodes.unionByName(nodes.select(F.col("component").alias("node"), "component").distinct())

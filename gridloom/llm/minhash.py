@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import blank_separated, by_ids, shingle_hashes, text_key
-from gridloom.llm.components import components
+from gridloom.llm.components import stars as stars_of
 from gridloom.session import durable, kept_on_disk
 
 ROWS = 4
@@ -148,12 +148,12 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 
 def _across(open_rows: DataFrame, by: list[str], threshold: int) -> DataFrame:
-    """All pairs in the same group ``by`` that lie in different components and whose signatures agree."""
+    """All pairs in the same group ``by`` that lie in different components and whose signatures agree; a pair may repeat."""
     least = _least_agreement(threshold)
     left = open_rows.select(*by, F.col("id").alias("a"), F.col("component").alias("ca"), F.col("sig").alias("sig_a"))
     right = open_rows.select(*by, F.col("id").alias("b"), F.col("component").alias("cb"), F.col("sig").alias("sig_b"))
     met = left.join(right, by).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (_agree("sig_a", "sig_b") >= least))
-    return met.select("a", "b").distinct()
+    return met.select("a", "b")
 
 
 def _beyond_pivot(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -182,19 +182,21 @@ def _beyond_pivot(members: DataFrame, sets: DataFrame, threshold: int) -> DataFr
 
 
 def links(reps: DataFrame, docs: DataFrame, threshold: int, keep: Callable[[DataFrame], DataFrame] = durable) -> DataFrame:
-    """Confirmed links between classes (id, least, n, d1, d2, sig): enough of them to connect all classes that any link connects.
+    """Links (a, b) between classes (id, least, n, d1, d2, sig), which connect the classes that confirmed links connect and no others.
 
+    The links found through buckets' smallest classes are given as the stars of their components.
     ``keep`` holds the tables that are read several times for as long as the result is needed."""
     rows = _buckets(reps, bands_for(threshold))
     heads = rows.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("id").alias("head")).filter("m > 1")
     shared = keep(rows.join(heads, ["band", "key"]))
     needed = durable(reps.drop("sig").join(shared.select("id").distinct(), "id"))
-    texts = by_ids(docs, needed.select(F.col("least").alias("doc_id")).distinct(), "left_semi")
+    n = needed.count()
+    texts = by_ids(docs, needed.select(F.col("least").alias("doc_id")), "left_semi", n=n)
     # of rows with one doc_id and several texts those of the class
-    sets = keep(by_ids(shingle_sets(texts), needed, "inner", ["least", "n", "d1", "d2"]).select("id", "set").dropDuplicates(["id"]))
+    sets = keep(by_ids(shingle_sets(texts), needed, "inner", ["least", "n", "d1", "d2"], n).select("id", "set").dropDuplicates(["id"]))
     stars = shared.filter("id != head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    found = keep(_confirmed(_similar(stars, reps, threshold), sets, threshold))
-    first = components(found).withColumnRenamed("node", "id")
+    found = stars_of(_confirmed(_similar(stars, reps, threshold), sets, threshold))
+    first = found.withColumnRenamed("node", "id")
     labelled = shared.filter("m > 2").join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
     labelled = durable(labelled.select("band", "key", "m", "head", "id", "component"))
     mixed = labelled.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi")
@@ -204,34 +206,37 @@ def links(reps: DataFrame, docs: DataFrame, threshold: int, keep: Callable[[Data
     large = rest.filter(F.col("m") > LARGE_BUCKET).select("head", "id", "component").distinct()
     beyond = _similar(_beyond_pivot(large, sets, threshold), reps, threshold)
     more = _across(small, ["band", "key"], threshold).unionByName(beyond).distinct()
-    return found.unionByName(_confirmed(more, sets, threshold))
+    return found.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(_confirmed(more, sets, threshold))
 
 
-def classes_of(signed: DataFrame) -> DataFrame:
-    """Classes of equal sets: n, d1, d2, least (the smallest doc_id) and id, which is least or, where that has several sets, a number below all doc_ids for all but one of them."""
+def classes_of(signed: DataFrame) -> tuple[DataFrame, bool]:
+    """Classes of equal sets: n, d1, d2, least (the smallest doc_id) and id, which is least or, where that has several sets, a number below all doc_ids for all but one of them.
+
+    The second value tells whether there is such a number."""
     classes = durable(signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("least")))
     first = classes.groupBy("least").agg(F.min(F.struct("n", "d1", "d2")).alias("first"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    if not first.count():
+        return classes.withColumn("id", F.col("least")), False
     others = durable(classes.join(first, "least").filter(F.struct("n", "d1", "d2") != F.col("first")).drop("first"))
-    if not others.count():
-        return classes.withColumn("id", F.col("least"))
     below = classes.agg(F.min("least")).first()[0]
     named = others.select("n", "d1", "d2", (F.lit(below - 1) - F.monotonically_increasing_id()).alias("other"))
-    return durable(classes.join(named, ["n", "d1", "d2"], "left").withColumn("id", F.coalesce("other", "least")).drop("other"))
+    return durable(classes.join(named, ["n", "d1", "d2"], "left").withColumn("id", F.coalesce("other", "least")).drop("other")), True
 
 
 def labelled(docs: DataFrame, threshold: int) -> DataFrame:
     """doc_id, key, n_shingles, component_id of every row."""
     signed = durable(signatures(docs, bands_for(threshold)))
-    classes = classes_of(signed)
+    classes, numbered = classes_of(signed)
     rows = signed.filter("n > 0").join(classes.withColumnRenamed("least", "doc_id"), ["doc_id", "n", "d1", "d2"])  # by the class's own doc_id, so a class of many copies is no hot key
     with kept_on_disk() as keep:
         reps = keep(rows.select("id", F.col("doc_id").alias("least"), "n", "d1", "d2", "sig").dropDuplicates(["id"]))
-        found = components(links(reps, docs, threshold, keep))
-    # a component is called by the smallest doc_id of its classes
-    of = classes.join(found.withColumnRenamed("node", "id"), "id").select("id", "component", "least")
-    names = of.groupBy("component").agg(F.min("least").alias("name"))
-    named = of.join(names, "component").select("id", "name")
-    final = durable(classes.join(named, "id", "left").select("n", "d1", "d2", F.coalesce("name", "least").alias("component_id")))
+        found = stars_of(links(reps, docs, threshold, keep))
+    of = classes.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    if numbered:  # a component is called by the smallest doc_id of its classes, not by a number of theirs
+        of = durable(of)
+        names = of.groupBy("component").agg(F.min("least").alias("name"))
+        of = of.join(names, "component").withColumn("component", F.col("name"))
+    final = durable(of.select("n", "d1", "d2", F.col("component").alias("component_id")))
     out = signed.select("doc_id", "key", "n", "d1", "d2").join(final, ["n", "d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "key", F.col("n").alias("n_shingles"), component.alias("component_id"))

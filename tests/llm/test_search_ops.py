@@ -334,3 +334,32 @@ def test_components(spark):
             root[a] = root[b] = min(root[a], root[b])
     assert got == {x: root[x] for a, b in edges if a != b for x in (a, b)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_run_no_round_on_stars(spark, monkeypatch):
+    """Edges that are stars already are written once; repeated and reversed ones are still one row a node."""
+    real, written = components.__globals__["durable"], []
+    monkeypatch.setattr("gridloom.llm.components.durable", lambda df: written.append(1) or real(df))
+    for edges, rounds in (([(100, 100 + i) for i in range(1, 80)], 0), ([(1, 2), (2, 1), (1, 2), (3, 1)], 1)):
+        written.clear()
+        got = [tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()]
+        assert sorted(got) == [(x, min(e[0] for e in edges)) for x in sorted({x for e in edges for x in e})]
+        assert len(written) == 1 + rounds
+
+
+def test_near_duplicates_run_few_tasks(spark):
+    """Each task of a stage costs the driver memory and the disk shuffle files, however few rows there are."""
+    sc, group = spark.sparkContext, "near-duplicates-tasks"
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*base[:59], str(i % 3)])) for i in range(12)] + [(50, "quite another text of seven words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sc.setJobGroup(group, group)
+    try:
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, 85).collect()}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {i: 0 for i in range(12)} | {50: 50}
+    tracker = sc.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    tasks = sum(tracker.getStageInfo(s).numCompletedTasks for s in stages)
+    assert tasks <= 300
