@@ -12,13 +12,13 @@ def large_star(edges: DataFrame) -> DataFrame:
     """Links each node's larger neighbours to the smallest node of its neighbourhood (edges run from larger to smaller); rows may repeat."""
     ends = F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("to")), F.struct(F.col("v").alias("node"), F.col("u").alias("to")))
     least = edges.select(F.inline(ends)).groupBy("node").agg(F.least(F.min("to"), F.col("node")).alias("m"))
-    return edges.join(least.withColumnRenamed("node", "v"), "v").select("u", F.col("m").alias("v"))
+    return edges.join(least.withColumnRenamed("node", "v").hint("merge"), "v").select("u", F.col("m").alias("v"))
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     """Links each node and its smaller neighbours to the smallest of them (edges run from larger to smaller)."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    joined = edges.join(least, "u")
+    joined = edges.join(least.hint("merge"), "u")
     return (
         joined.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
     )
@@ -34,8 +34,8 @@ def tangled(edges: DataFrame) -> bool:
 def stars(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node that has an edge, but for the components' smallest nodes, which are what the components are called.
 
-    Groups are reduced to minima before the shuffle and joined back by sort-merge joins, so a node with
-    very many edges is split by adaptive execution. Each round is checkpointed in the shared folder; edges that
+    Groups are reduced to minima before the shuffle and joined back by sort-merge joins (by hint, so that no small table
+    is built in the driver for a broadcast), so a node with very many edges is split by adaptive execution. Each round is checkpointed in the shared folder; edges that
     are stars already need none."""
     u, v = F.greatest(a, b), F.least(a, b)
     out = durable(edges.filter(F.col(a) != F.col(b)).select(u.alias("u"), v.alias("v")))

@@ -23,6 +23,8 @@ No group is gathered: stars are joins, copies of any number are one class, and t
 whatever is connected already. Texts are not shuffled while the classes that share a bucket are up to a million
 (their ids are counted, then broadcast), and once beyond that; from then on only sets of those classes move.
 
+Joins are sort-merge joins by hint: a broadcast, however small, is built in the driver's memory. Only counted ids are broadcast.
+
 Small and large buckets (LARGE_BUCKET) are searched in different ways, both exact: the same classes end up connected.
 
 Edge cases: null, empty and blank texts have n_shingles 0 and are their own component; a null doc_id gets no
@@ -134,14 +136,14 @@ def _similar(pairs: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
     least = _least_agreement(threshold)
     left = reps.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"))
     right = reps.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"))
-    return pairs.join(left, "a").join(right, "b").filter(_agree("sig_a", "sig_b") >= least).select("a", "b")
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").filter(_agree("sig_a", "sig_b") >= least).select("a", "b")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b) whose full sets are similar enough: 100 |A n B| >= threshold |A u B|."""
     left = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
     right = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
-    both = pairs.join(left, "a").join(right, "b")
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - common
     return both.filter(common.cast("long") * 100 >= union.cast("long") * threshold).select("a", "b")
@@ -152,7 +154,7 @@ def _across(open_rows: DataFrame, by: list[str], threshold: int) -> DataFrame:
     least = _least_agreement(threshold)
     left = open_rows.select(*by, F.col("id").alias("a"), F.col("component").alias("ca"), F.col("sig").alias("sig_a"))
     right = open_rows.select(*by, F.col("id").alias("b"), F.col("component").alias("cb"), F.col("sig").alias("sig_b"))
-    met = left.join(right, by).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (_agree("sig_a", "sig_b") >= least))
+    met = left.join(right.hint("merge"), by).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (_agree("sig_a", "sig_b") >= least))
     return met.select("a", "b")
 
 
@@ -161,12 +163,12 @@ def _beyond_pivot(members: DataFrame, sets: DataFrame, threshold: int) -> DataFr
     t = threshold
     heads = sets.select(F.col("id").alias("head"), F.col("set").alias("set_h"))
     rest = F.concat(F.array_except("set", "set_h"), F.array_except("set_h", "set"))
-    d = members.join(sets, "id").join(heads, "head").select("head", "id", "component", F.size("set").cast("long").alias("n"), rest.alias("rest"))
+    d = members.join(sets.hint("merge"), "id").join(heads.hint("merge"), "head").select("head", "id", "component", F.size("set").cast("long").alias("n"), rest.alias("rest"))
     d = durable(d.repartition("head", "id"))
     # one order for all of a head's members: first what few of them have, then what COMMON or more have, rarest first
     counts = d.select("head", F.explode("rest").alias("shingle")).groupBy("head", "shingle").agg(F.count("*").alias("df")).filter(F.col("df") >= COMMON)
     counts = counts.groupBy("head").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "shingle"))), lambda s: s["shingle"]).alias("common"))
-    d = d.join(counts, "head", "left").withColumn("common", F.coalesce("common", F.expr("cast(array() as array<bigint>)")))
+    d = d.join(counts.hint("merge"), "head", "left").withColumn("common", F.coalesce("common", F.expr("cast(array() as array<bigint>)")))
     order = F.concat(F.array_except("rest", "common"), F.array_intersect("common", "rest"))
     # no partner is larger than n * 100 / t, so no more than this many shingles may differ
     most = F.floor(F.col("n") * (100 - t) * (100 + t) / ((100 + t) * t)).cast("int")
@@ -177,7 +179,7 @@ def _beyond_pivot(members: DataFrame, sets: DataFrame, threshold: int) -> DataFr
     common = (F.col("size") + F.col("size2") - differ) / 2
     reach = F.least(F.col("size") - F.col("at"), F.col("size2") - F.col("at2"))
     fits = (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * t) & (reach >= common)
-    met = front.join(other, ["head", "shingle"]).filter((F.col("id") < F.col("id2")) & (F.col("component") != F.col("component2")) & fits)
+    met = front.join(other.hint("merge"), ["head", "shingle"]).filter((F.col("id") < F.col("id2")) & (F.col("component") != F.col("component2")) & fits)
     return met.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
 
 
@@ -188,8 +190,8 @@ def links(reps: DataFrame, docs: DataFrame, threshold: int, keep: Callable[[Data
     ``keep`` holds the tables that are read several times for as long as the result is needed."""
     rows = _buckets(reps, bands_for(threshold))
     heads = rows.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("id").alias("head")).filter("m > 1")
-    shared = keep(rows.join(heads, ["band", "key"]))
-    needed = durable(reps.drop("sig").join(shared.select("id").distinct(), "id"))
+    shared = keep(rows.join(heads.hint("merge"), ["band", "key"]))
+    needed = durable(reps.drop("sig").join(shared.select("id").distinct().hint("merge"), "id"))
     n = needed.count()
     texts = by_ids(docs, needed.select(F.col("least").alias("doc_id")), "left_semi", n=n)
     # of rows with one doc_id and several texts those of the class
@@ -197,12 +199,12 @@ def links(reps: DataFrame, docs: DataFrame, threshold: int, keep: Callable[[Data
     stars = shared.filter("id != head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     found = stars_of(_confirmed(_similar(stars, reps, threshold), sets, threshold))
     first = found.withColumnRenamed("node", "id")
-    labelled = shared.filter("m > 2").join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    labelled = shared.filter("m > 2").join(first.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     labelled = durable(labelled.select("band", "key", "m", "head", "id", "component"))
     mixed = labelled.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi")
     # a bucket's smallest class has been compared with all others
-    rest = durable(labelled.join(mixed.select("band", "key"), ["band", "key"], "left_semi").filter("id != head"))
-    small = rest.filter(F.col("m") <= LARGE_BUCKET).join(reps.select("id", "sig"), "id")
+    rest = durable(labelled.join(mixed.select("band", "key").hint("merge"), ["band", "key"], "left_semi").filter("id != head"))
+    small = rest.filter(F.col("m") <= LARGE_BUCKET).join(reps.select("id", "sig").hint("merge"), "id")
     large = rest.filter(F.col("m") > LARGE_BUCKET).select("head", "id", "component").distinct()
     beyond = _similar(_beyond_pivot(large, sets, threshold), reps, threshold)
     more = _across(small, ["band", "key"], threshold).unionByName(beyond).distinct()
@@ -227,17 +229,17 @@ def labelled(docs: DataFrame, threshold: int) -> DataFrame:
     """doc_id, key, n_shingles, component_id of every row."""
     signed = durable(signatures(docs, bands_for(threshold)))
     classes, numbered = classes_of(signed)
-    rows = signed.filter("n > 0").join(classes.withColumnRenamed("least", "doc_id"), ["doc_id", "n", "d1", "d2"])  # by the class's own doc_id, so a class of many copies is no hot key
+    rows = signed.filter("n > 0").join(classes.withColumnRenamed("least", "doc_id").hint("merge"), ["doc_id", "n", "d1", "d2"])  # by the class's own doc_id, so a class of many copies is no hot key
     with kept_on_disk() as keep:
         reps = keep(rows.select("id", F.col("doc_id").alias("least"), "n", "d1", "d2", "sig").dropDuplicates(["id"]))
         found = stars_of(links(reps, docs, threshold, keep))
-    of = classes.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    of = classes.join(found.withColumnRenamed("node", "id").hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     if numbered:  # a component is called by the smallest doc_id of its classes, not by a number of theirs
         of = durable(of)
         names = of.groupBy("component").agg(F.min("least").alias("name"))
         of = of.join(names, "component").withColumn("component", F.col("name"))
     final = durable(of.select("n", "d1", "d2", F.col("component").alias("component_id")))
-    out = signed.select("doc_id", "key", "n", "d1", "d2").join(final, ["n", "d1", "d2"], "left")
+    out = signed.select("doc_id", "key", "n", "d1", "d2").join(final.hint("merge"), ["n", "d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "key", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
